@@ -95,6 +95,8 @@ def with_statistics(docs: DataFrame, into: str, text: str = "text") -> DataFrame
         F.size(ln).cast("long").alias("n_lines"),
         (F.size(ln) - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        # Not deterministic, so that no filter above is pushed below and the whole chain written out again for each use.
+        F.spark_partition_id().alias("at"),
     )
     return out.withColumn(into, struct).drop(t, h, g, s, d, ln)
 
@@ -158,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
         if cuts is None or cuts[0] is None:
             return DecisionList()
         cuts = [sorted(set(c)) for c in cuts]
-        binned = [F.size(F.filter(F.array(*map(F.lit, c)), lambda t, i=i: F.get("x", F.lit(i)) >= t)).alias(f"b{i}") for i, c in enumerate(cuts)]
+        binned = [_bin(F.get("x", F.lit(i)), c).alias(f"b{i}") for i, c in enumerate(cuts)]
         hold = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("hold")
         cells = values.select("y", hold, *binned).groupBy("y", "hold", *[f"b{i}" for i in range(len(cuts))]).count().collect()
     finally:
@@ -166,6 +168,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     return cover([(r[0] == 0, r[1], tuple(r[2:-1]), r[-1]) for r in cells], cuts)
 
 
+def _bin(value: Column, cuts: list[float]) -> Column:
+    """How many cut points the value reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: value >= t))
+
+
 def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], cuts: list[list[float]]) -> DecisionList:
     """Sequential covering over counted cells (bad, held back, bins, rows): grow by information gain, prune on what is held back."""
     names, rules = list(FEATURES), []

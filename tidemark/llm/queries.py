@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules
+from tidemark.llm import decontam, line_dedup, mixing, quality_rules, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and near-duplicate component."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -56,7 +67,7 @@ def op7_sql(final: str = "SELECT doc_id, source, lang, topic, n_tokens, round(p,
     parts.append(f"""r AS (SELECT 0 AS k, w0.*, a.t AS ta, b.t AS tb, c.t AS tc FROM w0 JOIN t_source a ON w0.source = a.source JOIN t_lang b ON w0.lang = b.lang JOIN t_topic c ON w0.topic = c.topic
         UNION ALL SELECT k + 1, source, lang, topic, n, w * (CASE k % 3 WHEN 0 THEN ta WHEN 1 THEN tb ELSE tc END)
         / sum(w) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END), ta, tb, tc FROM r WHERE k < {3 * mixing.ROUNDS})""")
-    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / (n / (SELECT sum(n) FROM w0)) ELSE 1 END AS f FROM w{k})")
+    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / (n / (SELECT sum(n) FROM w0)) ELSE 1 END AS f FROM r WHERE k = {3 * mixing.ROUNDS})")
     parts.append(f"kept AS (SELECT d.*, least(1.0, {mixing.RATE} * f) AS p FROM docs0 d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / {16**13}::DOUBLE < least(1.0, {mixing.RATE} * f))")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
@@ -68,7 +79,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_line_dedup, op7_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_line_dedup, op7_mixing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
