@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_dedup, mixing, quality_rules, simhash
-from tidemark.llm.common import table
+from tidemark.llm import decontam, html_text, line_dedup, mixing, quality_rules, simhash, warc
+from tidemark.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,14 +72,27 @@ def op7_sql(final: str = "SELECT doc_id, source, lang, topic, n_tokens, round(p,
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and verdict, by a decision list learned from labels.quality."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an ARC archive and a WARC archive, and back."""
+    arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, out)
+    return warc.records(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_line_dedup, op7_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
