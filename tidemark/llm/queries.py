@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_text, line_dedup, mixing, quality_rules, simhash, warc
+from tidemark.llm import decontam, html_text, line_dedup, mixing, pii, quality_rules, simhash, toxicity, warc
 from tidemark.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -92,7 +104,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op5_toxicity, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
