@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_text, line_dedup, mixing, pii, quality_rules, simhash, toxicity, warc
+from tidemark.llm import decontam, html_text, line_dedup, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 from tidemark.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 100 bytes that start earlier."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -104,7 +109,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op5_toxicity, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
