@@ -117,9 +117,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
 
 
 #: For near copies by similarity: shards are bands of two MinHash values; so many of them that two texts of similarity
-#: 0.8 share none with a chance of (1 - 0.8 ** 2) ** 10 = 4e-5. The radius is over two standard deviations
-#: above the distance of such texts.
-COPY_WORDS, SIMILARITY, BANDS, COPY_RADIUS = 5, 0.8, 10, 16
+#: 0.8 share none with a chance of (1 - 0.8 ** 2) ** 10 = 4e-5. The radius is wide: such texts differ in about ten
+#: bits, but in more where a text repeats itself; unrelated texts differ in 32, and an exact count decides.
+COPY_WORDS, SIMILARITY, BANDS, COPY_RADIUS = 5, 0.8, 10, 24
 #: Parts that a component of near copies is dealt to before its survivors meet.
 SALTS = 16
 _MIX = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
