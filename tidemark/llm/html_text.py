@@ -30,7 +30,7 @@ from tidemark.llm.common import materialize
 MIN_TOKENS = 8
 #: Distinct pages of a shard that boilerplate stands on, at least: so many, and this share.
 MIN_PAGES, MIN_SHARE = 3, 0.05
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 1_000_000
 NEUTRAL, MAIN, DROPPED = 0, 1, 2
 
 _RAW = "script|style|title|textarea|noscript|template|iframe|svg|select|button|object|canvas|math"
