@@ -43,12 +43,14 @@ class BlockStore:
 
         The same block_ids again replace what is there: a retried micro-batch publishes nothing twice.
         """
-        rows = records.select(*[F.col(f.name).cast(f.dataType) for f in LOGS])
+        # Read twice, for the files and for their ids; spills to disk where memory is short.
+        rows = records.select(*[F.col(f.name).cast(f.dataType) for f in LOGS]).persist()
         (
             rows.repartition("block_id").sortWithinPartitions("block_id", "ordinal").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd").partitionBy("block_id").parquet(f"{self.root}/logs")
         )
         ids = [r[0] for r in rows.select("block_id").distinct().collect()]
+        rows.unpersist()
         return self._publish(ids)
 
     def _publish(self, ids: list[str]) -> DataFrame:
