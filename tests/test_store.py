@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tests.damage import flip
 from tidemark import functions as X
 from tidemark.operators import summaries
 from tidemark.operators.cutting import cut
@@ -46,16 +47,7 @@ def test_basic_isolation_and_order(spark, tmp_path):
 
 def test_corrupt_block_gives_nothing_and_is_told(spark, tmp_path):
     store = store_of(spark, tmp_path, [*BASIC, ("tenant-a", "b2", 0, 1500, {"env": "prod"}, "payment other")])
-    path = store.catalog().where("block_id = 'b2'").first()["path"].removeprefix("file:")
-    with open(path, "r+b") as f:
-        f.seek(20)
-        byte = f.read(1)
-        f.seek(20)
-        f.write(bytes([byte[0] ^ 0xFF]))
-    from pathlib import Path
-
-    for crc in Path(path).parent.glob(".*.crc"):
-        crc.unlink()
+    flip(store.catalog().where("block_id = 'b2'").first()["path"], 20)
     r = find(store, "tenant-a", 0, 10_000, {"env": "prod"}, "payment")
     assert len(r.results) == 1 and r.partial and (r.candidate_blocks, r.scanned_blocks, r.skipped_blocks, r.unavailable_blocks) == (2, 1, 1, 0)
     r = find(store, "tenant-a", 0, 10_000)
@@ -219,7 +211,10 @@ def test_ingest_flushes_by_size_age_and_close(spark, tmp_path):
     assert (m["flush.by.size"], m["flush.by.age"], m["blocks.published"]) == (2, 1, 3)
     row = ing.status().first()
     assert row.status == "healthy" and row.published_blocks == 3 and row.accepted_records == 3
-    assert find(store, "t", 0, 2**50).returned_count == 2
+    r = find(store, "t", 0, 2**50)
+    assert r.returned_count == 2 and '"partial": false' in r.to_json()
+    ing.metrics.save(spark, store.root)
+    assert spark.read.parquet(f"{store.root}/metrics").where("name = 'persist.records'").first().value == 3
 
 
 def test_ingest_refuses_whole_batches(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import threading
 import time
 import uuid
@@ -32,6 +33,11 @@ class Response:
     unavailable_of_tenant: int = 0
     pruned_blocks: int = 0
 
+    def to_json(self) -> str:
+        """The answer as a document; fields that are null are left out."""
+        hits = [{k: v for k, v in h.items() if v is not None} for h in self.results]
+        return json.dumps({k: v for k, v in vars(self).items() if v is not None} | {"results": hits}, ensure_ascii=False)
+
 
 class SearchEngine:
     """At most max_active_queries at once. Candidate blocks are taken in waves, earliest first, so that a search that

@@ -6,6 +6,7 @@ import threading
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 COUNTERS = (
     "ingest.accepted.records", "ingest.accepted.bytes", "ingest.rejected", "persist.records", "persist.bytes", "flush.by.size", "flush.by.age", "flush.failures", "blocks.published",
@@ -37,4 +38,8 @@ class Metrics:
             return dict(self._values)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.values().items()), "name string, value double")
+        return spark.createDataFrame([(k, float(v)) for k, v in sorted(self.values().items())], "name string, value double")
+
+    def save(self, spark: SparkSession, root: str) -> None:
+        """Appends what is counted so far, with the time, to the metrics table under root."""
+        self.frame(spark).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/metrics")
