@@ -152,29 +152,61 @@ def profiles(docs: DataFrame, n: int = COPY_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, fp long, bands array<long>")
 
 
+class Kept:
+    """Sets of hashes, none of them similar to another: an inverted index of most, and the latest few side by side."""
+
+    def __init__(self, similarity: float, radius: int):
+        self.similarity, self.radius = similarity, radius
+        self.sizes = np.array([], dtype=np.int64)
+        self.hashes, self.owners = np.array([], dtype=np.uint64), np.array([], dtype=np.int32)
+        self.latest: list[tuple[np.ndarray, int]] = []
+
+    def takes(self, own: np.ndarray, fp: int) -> bool:
+        """Takes the set in unless it is similar to one that is in."""
+        if self._indexed(own) or any((f ^ fp).bit_count() <= self.radius and self._similar(s, own) for s, f in self.latest):
+            return False
+        self.latest.append((own, fp))
+        if len(self.latest) > 32 + len(self.sizes) // 8:
+            first = len(self.sizes)
+            hashes = np.concatenate([self.hashes, *(s for s, _ in self.latest)])
+            owners = np.concatenate([self.owners, *(np.full(len(s), first + k, dtype=np.int32) for k, (s, _) in enumerate(self.latest))])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.owners = hashes[order], owners[order]
+            self.sizes = np.append(self.sizes, [len(s) for s, _ in self.latest])
+            self.latest = []
+        return True
+
+    def _indexed(self, own: np.ndarray) -> bool:
+        """Shared hashes are counted for all indexed sets at once."""
+        lo = np.searchsorted(self.hashes, own)
+        n = np.searchsorted(self.hashes, own, "right") - lo
+        total = int(n.sum())
+        if not total:
+            return False
+        both = np.bincount(self.owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)], minlength=len(self.sizes))
+        return bool((both >= self.similarity * (self.sizes + len(own) - both) - 1e-9).any())
+
+    def _similar(self, one: np.ndarray, other: np.ndarray) -> bool:
+        a, b = len(one), len(other)
+        if min(a, b) < self.similarity * max(a, b):
+            return False
+        both = len(np.intersect1d(one, other, assume_unique=True))
+        return both >= self.similarity * (a + b - both) - 1e-9
+
+
 def _keep_first(docs: DataFrame, keys: list[str], n: int, similarity: float, radius: int) -> DataFrame:
     """Of (*keys, doc_id, text): the doc_ids that stay when, per keys, each row goes that is similar to a smaller one that stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, fps = None, [], np.array([], dtype=np.uint64)
+        now, kept = None, Kept(similarity, radius)
         for batch in batches:
             stay = []
             for *key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    now, sets, fps = key, [], np.array([], dtype=np.uint64)
+                    now, kept = key, Kept(similarity, radius)
                 h = shingle_hashes(text, n)
-                fp, own = np.uint64(fingerprint(h)), np.unique(h)
-                for k in np.flatnonzero(np.bitwise_count(fps ^ fp) <= radius).tolist():
-                    a, b = len(sets[k]), len(own)
-                    # Sizes too unlike can't be similar.
-                    if min(a, b) >= similarity * max(a, b):
-                        both = len(np.intersect1d(sets[k], own, assume_unique=True))
-                        if both >= similarity * (a + b - both) - 1e-9:
-                            break
-                else:
+                if kept.takes(np.unique(h), fingerprint(h)):
                     stay.append([*key, doc_id])
-                    sets.append(own)
-                    fps = np.append(fps, fp)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stay, strict=True)] if stay else [pa.array([], pa.int64())] * (len(keys) + 1), [*keys, "doc_id"])
 
     dealt = docs.select(*keys, "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
