@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bktree import forest
-from tidemark.llm.common import materialize
+from tidemark.llm.common import fresh, materialize
 from tidemark.llm.components import components
 
 SEED = 42
@@ -195,22 +195,21 @@ class Kept:
 
 
 def _keep_first(docs: DataFrame, keys: list[str], n: int, similarity: float, radius: int) -> DataFrame:
-    """Of (*keys, doc_id, text): the doc_ids that stay when, per keys, each row goes that is similar to a smaller one that stays."""
+    """Of (*keys, doc_id, text): the rows that stay when, per keys, each row goes that is similar to a smaller one that stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, Kept(similarity, radius)
         for batch in batches:
             stay = []
-            for *key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     now, kept = key, Kept(similarity, radius)
                 h = shingle_hashes(text, n)
-                if kept.takes(np.unique(h), fingerprint(h)):
-                    stay.append([*key, doc_id])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stay, strict=True)] if stay else [pa.array([], pa.int64())] * (len(keys) + 1), [*keys, "doc_id"])
+                stay.append(kept.takes(np.unique(h), fingerprint(h)))
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     dealt = docs.select(*keys, "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return dealt.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "doc_id"]))
+    return dealt.mapInArrow(run, ", ".join([*(f"{k} long" for k in [*keys, "doc_id"]), "text string"]))
 
 
 def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = COPY_RADIUS) -> DataFrame:
@@ -218,7 +217,8 @@ def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = S
 
     Texts of one set go at once, by digest. The others' fingerprints meet in shards, walk the shard's BK-tree, and
     make candidate components; in each, a document goes only if one that stays is similar by exact count (a document
-    that stays within its part of a component may still give way to one of another part, similar to it).
+    that stays within its part of a component may still give way to one of another part, similar to it). Rows without
+    a doc_id stay; of several rows of one doc_id all stay if one does.
     """
     found = materialize(profiles(docs, n), "profiles")
     first = materialize(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "first")
@@ -226,10 +226,13 @@ def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = S
     shard = alone.select(F.explode("bands").alias("shard"), "fp", F.col("doc_id").alias("rep"))
     tied = components(links(shard, radius))
     tied = materialize(tied.union(tied.select(F.col("component"), "component").distinct()).toDF("doc_id", "component"), "tied")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(tied, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    texts = materialize(texts.dropDuplicates(["doc_id"]), "texts")
+    # The texts move once, to learn what became of them; from then on only the candidates do.
+    id_, component = fresh(docs, "tm_id", "tm_component")
+    status = first.select("doc_id").distinct().join(tied, "doc_id", "left").toDF(id_, component)
+    marked = materialize(docs.join(status, docs["doc_id"].cast("long") == F.col(id_)), "marked")
+    candidates = marked.where(F.col(component).isNotNull())
+    texts = candidates.select(F.col(component).alias("component"), F.pmod(F.xxhash64(id_), F.lit(SALTS)).alias("salt"), F.col(id_).alias("doc_id"), "text")
     once = _keep_first(texts, ["component", "salt"], n, similarity, radius)
-    stay = _keep_first(texts.join(once.select("doc_id"), "doc_id", "left_semi"), ["component"], n, similarity, radius)
-    go = tied.select("doc_id").join(stay.select("doc_id"), "doc_id", "left_anti")
-    kept = materialize(first.select("doc_id").distinct().join(go, "doc_id", "left_anti"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    stay = materialize(_keep_first(once, ["component"], n, similarity, radius).select(F.col("doc_id").alias(id_)), "stay")
+    whole = marked.where(F.col(component).isNull()).unionByName(candidates.join(stay, id_, "left_semi"))
+    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
