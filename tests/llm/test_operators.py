@@ -325,6 +325,22 @@ def test_extraction_without_an_article(spark):
     assert (got[90], got[91], got[92]) == ("", "", "a b")
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav>menu<article><p>text</p></article><footer>no", "text"),
+        ("<article class='long-form'><header><p>by line</p><h1>Title</h1></header><p>one</p><p class='notice'>no</p><p>two<div class='ad-slot'>no<p>no</p></div>three</article>", "Title\none\ntwo\nthree"),
+        ("<article>a</article><section id='comments'><article>no</article></section>", "a"),
+        ("<div id='content'>x &amp;amp; y&nbsp;\n z<ul><li>i</li><li>j</ul></div><div>other</div>", "x &amp; y z\ni\nj"),
+        ("<article><p>a<form>no<input></form><aside>no</aside><script>x</script><!-- no --><b>b</b>c</p></article>", "a\nbc"),
+        ("plain &lt;text&gt;", "plain <text>"),
+        ("<main hidden>no</main><main>yes</main>", "yes"),
+    ],
+)
+def test_roles(page, want):
+    assert html_text.main_texts([html_text.blocks(page)]) == [want]
+
+
 # 9
 
 

@@ -48,15 +48,18 @@ _DROPPED_TAGS = frozenset("nav footer aside form menu header dialog head".split(
 _MAIN_TAGS = frozenset(("article", "main"))
 #: Words of class, id or role.
 _DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert newsletter subscribe signup login comment comments discussion disqus replies respond related recommended share sharing social toolbar widget popup modal search skip form".split()
+    "ad ads advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert newsletter subscribe signup login comment comments discussion disqus replies respond related recommended share sharing social toolbar widget popup modal search skip".split()
 )
+#: Of those, the ones that tell an article element apart from the page's article.
+_NO_ARTICLE = _DROPPED_WORDS & frozenset("ad ads advert advertisement sponsored promo sidebar comment comments replies related recommended widget".split())
+#: Elements that pages forget to close: an article inside is the page's article all the same.
+_LEFT_OPEN = frozenset("nav header head menu".split())
 _MAIN_WORDS = frozenset("article content main post entry story".split())
 
 
 def _role(tag: str, attributes: str, above: int) -> int:
     if tag in _MAIN_TAGS:
-        names = _words(attributes)
-        return DROPPED if names & _DROPPED_WORDS or _HIDDEN.search(attributes) else MAIN
+        return DROPPED if _words(attributes) & _NO_ARTICLE or _HIDDEN.search(attributes) else MAIN
     if tag in _DROPPED_TAGS:
         return DROPPED
     if attributes:
@@ -76,7 +79,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     """The text blocks of a page and their roles, in page order."""
     texts, roles, held = [], [], []
     stack: list[tuple[str, int]] = []
-    role, heading = NEUTRAL, False
+    role, heading, marked = NEUTRAL, False, False
 
     def flush() -> None:
         if held:
@@ -86,7 +89,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 texts.append(text)
                 # An article's own header holds its headline.
                 own = role == DROPPED and heading and [t for t, _ in stack[-2:]] == ["article", "header"]
-                roles.append(MAIN if own else role)
+                roles.append(DROPPED if marked else MAIN if own else role)
 
     page, at = page or "", 0
     for m in _PART.finditer(page):
@@ -99,6 +102,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
         if tag not in _BLOCKS:
             continue
         flush()
+        marked = False
         if m[2]:
             heading = False
             if tag in _CONTAINERS and any(t == tag for t, _ in stack):
@@ -107,10 +111,12 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 role = stack[-1][1] if stack else NEUTRAL
         else:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if tag in _CONTAINERS and not m[4].endswith("/"):
-                # A main element starts anew: what is open above it may never have been closed.
-                new = _role(tag, m[4], role)
-                role = new if role != DROPPED or tag in _MAIN_TAGS else DROPPED
+            if tag not in _CONTAINERS:
+                # A paragraph, item or cell of its own name: only its own text goes.
+                marked = bool(m[4]) and _role(tag, m[4], role) == DROPPED
+            elif not m[4].endswith("/"):
+                inside = next((t for t, r in stack if r == DROPPED), None)
+                role = _role(tag, m[4], role) if inside is None or tag in _MAIN_TAGS and inside in _LEFT_OPEN else DROPPED
                 stack.append((tag, role))
     held.append(page[at:])
     flush()
@@ -134,7 +140,7 @@ def repeated(streams: list[np.ndarray], min_tokens: int = MIN_TOKENS, min_pages:
         step = min(depth, min_tokens - depth)
         # Rank 0 stands beyond the end of a page.
         after = np.zeros(total, dtype=np.int64)
-        after[: total - step] = rank[step:]
+        after[: max(total - step, 0)] = rank[step:]
         after[left <= step] = 0
         rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1] + 1
         depth += step
