@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,8 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_roots: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
+    """A new path in the shared folder, under a folder of the application's own that goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[app])
+    return f"{_roots[app]}/{uuid.uuid4().hex[:8]}-{tag}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -38,14 +54,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Removes what materialize() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no column of, whatever the case."""
     taken = {c.lower() for c in df.columns}

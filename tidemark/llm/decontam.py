@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +134,9 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, max_
     spark = docs.sparkSession
     items = items.select("item_id", "text").where("text is not null")
     n_blocks = -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // max_block_chars)
-    out = spark.createDataFrame([], SCHEMA)
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        out = (_search(docs, Index([tuple(r) for r in part.collect()]), similarity) if n_blocks == 1 else out.unionByName(_search(docs, Index([tuple(r) for r in part.collect()]), similarity)))
-    return out
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+    found = [_search(docs, Index([tuple(r) for r in part.collect()]), similarity) for part in parts]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
 def _search(docs: DataFrame, index: Index, similarity: float) -> DataFrame:

@@ -164,14 +164,13 @@ def _lambda(positive: list[tuple[float, float]]) -> float:
 def _calibrate(model: Model, train: DataFrame, background: int) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, ns, best, sums = [], [], [], []
+            ys, ns, scores = [], [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, n = model.segments(text)
                 ys.append(int(y > 0))
                 ns.append(n)
-                best.append([s for _, _, s, _ in found])
-                sums.append(0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "scores"])
+                scores.append([s for _, _, s, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["y", "n", "scores"])
 
     rows = train.mapInArrow(measure, "y int, n long, scores array<double>").collect()
     # K: that background texts have as many segments as they are expected to, each at least as good as it is.
