@@ -220,7 +220,7 @@ def test_merge_sorts_what_the_shards_hold():
     r = random.Random(4)
     parts = [["".join(r.choice("ab") for _ in range(r.randrange(1, 40))).encode() for _ in range(5)] for _ in range(3)]
     transforms = [suffix_dedup.Transform(p) for p in parts]
-    number, block, prefix = suffix_dedup.merge(transforms, depth=20)
+    number, block, prefix, step = suffix_dedup.merge(transforms, depth=20)
     turns = []
     for p, t in zip(parts, transforms, strict=True):
         whole = [(w + b"\xff")[k:] + (w + b"\xff")[:k] for w in p for k in range(len(w) + 1)]
@@ -230,7 +230,7 @@ def test_merge_sorts_what_the_shards_hold():
     assert all((block[k] == block[k - 1]) == (merged[k] == merged[k - 1]) for k in range(1, len(merged)))
     for k in range(1, len(merged)):
         common = next((n for n in range(20) if merged[k][n] != merged[k - 1][n]), None)
-        assert prefix[k] == (-1 if common is None else common - common % 2)
+        assert prefix[k] == (-1 if common is None else common - common % step)
 
 
 # 5

@@ -37,7 +37,9 @@ from tidemark.llm.common import materialize
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text that are hashed at once, suffixes of a unit, and shards of a unit.
-PIECE, UNIT, SHARDS = 2 << 20, 1 << 20, 8
+PIECE, UNIT, SHARDS = 2 << 20, 1 << 18, 8
+#: Bytes that a pass of the merge may take, most first; two always can.
+STEPS = (5, 4, 2)
 #: Ends a word; no UTF-8 text holds it.
 END = 0xFF
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -189,56 +191,79 @@ class Transform:
 
     def __init__(self, words: list[bytes]):
         sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        data = np.frombuffer(b"".join(w + bytes([END]) for w in words), dtype=np.uint8)
-        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.offset, size = np.arange(len(data)) - base, np.repeat(sizes, sizes)
-        ahead = lambda d: base + (self.offset + d) % size
-        rank = data.astype(np.int64) * 256 + data[ahead(1)]
-        depth, kinds = 2, -1
+        self.data = np.frombuffer(b"".join(w + bytes([END]) for w in words), dtype=np.uint8)
+        self.base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.offset, self.size = np.arange(len(self.data)) - self.base, np.repeat(sizes, sizes)
+        rank = np.unique(self._blocks(0, 8), return_inverse=True)[1].astype(np.int64)
+        depth, kinds = 8, -1
         # Doubled until no more are told apart: equal ranks are then rotations of equal words.
         while True:
-            key = rank * (int(rank.max()) + 1) + rank[ahead(depth)]
+            key = rank * (int(rank.max()) + 1) + rank[self._ahead(depth)]
             values, rank = np.unique(key, return_inverse=True)
             depth *= 2
             if len(values) == kinds and depth > 2 * int(sizes.max()):
                 break
             kinds = len(values)
         self.order = np.argsort(rank, kind="stable")
-        before = ahead(-2)
-        pairs = data[before].astype(np.uint16) * np.uint16(256) + data[ahead(-1)]
-        #: The two bytes before each rotation, in sorted order: the transform over pairs of bytes.
-        self.pairs = pairs[self.order]
 
+    def _ahead(self, d: int) -> np.ndarray:
+        """Where each rotation's byte d stands."""
+        return self.base + (self.offset + d) % self.size
 
-def merge(transforms: list[Transform], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _blocks(self, start: int, n: int) -> np.ndarray:
+        """The n bytes from `start` on of each rotation, as a number."""
+        out = np.zeros(len(self.data), dtype=np.uint64)
+        for d in range(start, start + n):
+            out = (out << np.uint64(8)) | self.data[self._ahead(d)].astype(np.uint64)
+        return out
+
+    def before(self, n: int) -> np.ndarray:
+        """The n bytes before each rotation, in sorted order: the transform over blocks of n bytes."""
+        return self._blocks(-n, n)[self.order]
+
+
+def _symbols(transforms: list[Transform], depth: int) -> tuple[np.ndarray, int]:
+    """The transforms end to end, over the longest blocks that are few enough to number in two bytes, and that length."""
+    for step in STEPS:
+        if depth % step == 0:
+            blocks = np.concatenate([t.before(step) for t in transforms])
+            if step == STEPS[-1]:
+                return blocks.astype(np.uint16), step
+            values, number = np.unique(blocks, return_inverse=True)
+            if len(values) <= 1 << 16:
+                return number.astype(np.uint16), step
+    raise ValueError("an odd depth")
+
+
+def merge(transforms: list[Transform], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The interleave of the shards' rotations by their first `depth` bytes (an even number).
 
     Returns, in merged order, each rotation's number in the shards laid end to end, its block (equal to `depth` bytes),
-    and the common prefix with its predecessor as far as it was found to end (-1: not within depth; else the even
-    number of bytes at or one below which it ends).
+    and the common prefix with its predecessor as far as it was found to end (-1: not within depth), rounded down to a
+    multiple of the last value returned.
     """
-    pairs = np.concatenate([t.pairs for t in transforms])
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t.pairs) for t in transforms])
-    block, prefix = np.zeros(len(pairs), dtype=np.int32), np.full(len(pairs), -1, dtype=np.int16)
-    before = np.empty_like(pairs)
-    for known in range(0, depth, 2):
+    symbols, step = _symbols(transforms, depth)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t.order) for t in transforms])
+    block, prefix = np.zeros(len(symbols), dtype=np.int32), np.full(len(symbols), -1, dtype=np.int16)
+    before, new = np.empty_like(symbols), np.ones(len(symbols), dtype=bool)
+    for known in range(0, depth, step):
         # The k-th rotation of a shard in the interleave is the shard's k-th.
-        before[np.argsort(shard, kind="stable")] = pairs
+        before[np.argsort(shard, kind="stable")] = symbols
         deal = np.argsort(before, kind="stable")
         shard, block, first = shard[deal], block[deal], before[deal]
-        new = np.empty(len(deal), dtype=bool)
-        new[:1] = True
         new[1:] = (block[1:] != block[:-1]) | (first[1:] != first[:-1])
-        prefix[new & (prefix < 0)] = known
+        parted = int(block.max(initial=-1)) if known else -1
         block = np.cumsum(new, dtype=np.int32)
-    return np.argsort(np.argsort(shard, kind="stable"), kind="stable"), block, prefix
+        if known == 0 or int(block[-1]) != parted:
+            prefix[new & (prefix < 0)] = known
+    return np.argsort(np.argsort(shard, kind="stable"), kind="stable"), block, prefix, step
 
 
 def repeats(unit: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
     """(uid, first, last) of the windows that are not the earliest of their string; unit: (uid, first window, windows, context)."""
     shards = [unit[k::SHARDS] for k in range(SHARDS) if unit[k::SHARDS]]
     transforms = [Transform([c[3] for c in s]) for s in shards]
-    number, block, _ = merge(transforms)
+    number, block, _, _ = merge(transforms)
     dealt = [c for s in shards for c in s]
     # What each rotation, in the shards' sorted order, is: a word and an offset in it.
     sizes = np.array([len(c[3]) + 1 for c in dealt], dtype=np.int64)
