@@ -116,17 +116,24 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(key, uid, run) of every run of (uid, text)."""
+    """(key, uid, run, known) of every run of (uid, text).
+
+    What occurs again in its own piece of the text is known to, and all but its first occurrence there get keys of their
+    own: however frequent a string is, its key has one row per piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             for first, data, starts, ends in _pieces(_bytes(batch.column(1))):
                 doc, _, _, key = runs(data, starts, ends)
-                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uids[first + doc]), pa.array(number.astype(np.int32))], ["key", "uid", "run"])
+                number, uid = np.arange(len(doc)) - np.searchsorted(doc, doc), uids[first + doc]
+                _, lead, of, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                known, later = times[of] > 1, lead[of] != np.arange(len(key))
+                key = np.where(later, _mix((uid.astype(np.uint64) * _ODD[4]) ^ (number.astype(np.uint64) * _ODD[5])), key)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(number.astype(np.int32)), pa.array(known)], ["key", "uid", "run", "known"])
 
-    return docs.select("uid", "text").mapInArrow(run, "key long, uid long, run int")
+    return docs.select("uid", "text").mapInArrow(run, "key long, uid long, run int, known boolean")
 
 
 def again(found: DataFrame) -> DataFrame:
@@ -135,19 +142,19 @@ def again(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = None, False
         for batch in batches:
-            key, uid, number = (c.to_numpy() for c in batch.columns)
-            if not len(key):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
                 continue
             if held is not None:
-                key, uid, number = np.append(held[0], key), np.append(held[1], uid), np.append(held[2], number)
+                columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+            key, uid, number, known = columns
             same = key[1:] == key[:-1]
-            out = np.append(False, same) | np.append(same, False)
-            more = bool(out[-1])
-            if held is not None:
-                out[0] &= not told
-                more |= told and bool((key == key[0]).all())
-            keep = out.copy()
-            held, told = (key[-1], uid[-1], number[-1]), more
+            keep = np.append(False, same) | np.append(same, False) | known
+            # The row held is known from now on if it was told before, and told only once.
+            held, again_told = (key[-1:], uid[-1:], number[-1:], keep[-1:]), bool(keep[-1])
+            if told:
+                keep[0] = False
+            told = again_told
             yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(number[keep].astype(np.int32))], ["uid", "run"])
 
     return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "uid long, run int")
@@ -159,7 +166,8 @@ _CONTEXT = "key long, uid long, at long, n int, context binary"
 def contexts(flagged: DataFrame) -> DataFrame:
     """The runs named in (uid, text, runs): their key, first window, number of windows and bytes.
 
-    Of equal contexts in a piece the earliest alone has bytes; the others are repeats, whatever else there is.
+    Of equal contexts in a piece the earliest alone has bytes and its key; the others are repeats, whatever else there
+    is, and have keys of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +179,12 @@ def contexts(flagged: DataFrame) -> DataFrame:
                 for d, begin in zip(*np.unique(doc, return_index=True), strict=True):
                     keep[begin + np.array(wanted[first + int(d)], dtype=np.int64)] = True
                 doc, at, last, key = (x[keep] for x in (doc, at, last, key))
-                whole, out, lead = data.tobytes(), [], {}
+                whole, out, lead = data.tobytes(), [], set()
                 rows = sorted(zip([uids[first + d] for d in doc.tolist()], (at - starts[doc]).tolist(), at.tolist(), last.tolist(), key.view(np.int64).tolist(), strict=True))
                 for uid, p, a, b, k in rows:
                     text = whole[a : b + LENGTH]
-                    out.append((k, uid, p, b - a + 1, None if text in lead else text))
-                    lead[text] = True
+                    out.append((hash((uid, p)), uid, p, b - a + 1, None) if text in lead else (k, uid, p, b - a + 1, text))
+                    lead.add(text)
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -304,6 +312,9 @@ def judged(found: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, uid, at, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if context is None:
+                    out.append((uid, at, at + n - 1))
+                    continue
                 if key != now:
                     size += close()
                     now, group = key, {}
@@ -325,9 +336,7 @@ def judged(found: DataFrame) -> DataFrame:
             out += repeats(unit)
         yield _spans(out)
 
-    dealt = found.where("context is not null").repartition("key").sortWithinPartitions("key")
-    local = found.where("context is null").select("uid", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
-    return dealt.mapInArrow(run, "uid long, first long, last long").union(local)
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "uid long, first long, last long")
 
 
 def _spans(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
