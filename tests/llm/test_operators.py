@@ -97,6 +97,16 @@ def test_simhash_links_chains_of_bits(spark):
     assert got == {i: c for i, c in want.items() if c != i}
 
 
+def test_simhash_awkward(spark, awkward):
+    got = {r.doc_id: r for r in simhash.near_duplicates(awkward).collect()}
+    assert [got[i].fp for i in (1, 2, 3)] == [0, 0, 0] and {got[i].component_id for i in (1, 2, 3)} == {1}
+    assert got[6].component_id == 5 and got[None].component_id is None
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+    kept = simhash.drop_near_copies(awkward)
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 7, 7, 8]
+    assert kept.where("doc_id is null").count() == 1
+
+
 def test_bktree_finds_what_a_scan_finds():
     r = np.random.default_rng(1)
     values = np.unique(np.concatenate([r.integers(0, 2**63, 200, dtype=np.uint64), np.uint64(1) << r.integers(0, 63, 60, dtype=np.uint64)]))

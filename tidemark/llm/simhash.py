@@ -10,7 +10,9 @@ its fingerprints walk along the edges within the radius; what leaves the task is
 shard, never all pairs. Components over all shards are then joined as a DataFrame.
 
 Defined results: a null text counts as empty; a text of fewer words than a shingle has one shingle, the whole; a text
-without words has fingerprint zero; rows of equal doc_id are joined as one document; an empty table gives an empty table.
+without words has fingerprint zero; rows of equal doc_id are joined as one document; a
+row without doc_id gets the component of its fingerprint (null if no row with an id has it); an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -106,14 +108,14 @@ def links(sharded: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id that links reach."""
     fps = materialize(fingerprints(docs, n), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     # A document may stand in several rows with different texts: its fingerprints belong together.
     same = fps.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     distinct = materialize(distinct, "distinct")
     again = fps.join(same.select("doc_id"), "doc_id", "left_semi").join(distinct, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     tied = components(links(shards(distinct, radius), radius).union(again))
     named = distinct.join(tied, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 #: For near copies by similarity: shards are bands of two MinHash values; so many of them that two texts of similarity
