@@ -189,6 +189,31 @@ def test_decontamination(spark, docs, awkward):
     assert decontam.drop_contaminated(awkward, bench).count() == len(AWKWARD)
 
 
+def test_decontamination_counts_the_whole_item(spark):
+    r = random.Random(4)
+    items, rows, near = [], [], set()
+    for n in (16, 20, 30, 45, 100):
+        for _ in range(30):
+            w, i = [f"w{r.randrange(10**6)}" for _ in range(n)], len(items)
+            items.append((i, " ".join(w)))
+            few = n // 5
+            burst = r.randrange(n - few + 1)
+            for gone in (range(burst, burst + few), r.sample(range(n), few), {1, n - 2}, r.sample(range(n), few + 1)):
+                copy = ["other" if k in set(gone) else x for k, x in enumerate(w)]
+                # What no mask finds is another matter.
+                seeded = any(all(copy[k + o] == w[k + o] for o in mask) for mask in decontam.MASKS for k in range(n - mask[-1]))
+                if seeded and sum(a == b for a, b in zip(copy, w, strict=True)) >= 0.8 * n:
+                    near.add((len(rows), i))
+                rows.append((len(rows), "before " + " ".join(copy) + " after"))
+            # Two words put in, and the last but one of each half replaced.
+            copy = w[: n // 2 - 2] + ["other", w[n // 2 - 1], "put", "in"] + w[n // 2 : -2] + ["other", w[-1]]
+            near.add((len(rows), i))
+            rows.append((len(rows), " ".join(copy)))
+    assert len(near) > 500
+    found = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == near
+
+
 # 4
 
 

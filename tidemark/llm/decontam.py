@@ -2,9 +2,10 @@
 
 A mask is a fixed set of token offsets; the tokens at the other offsets are ignored, so that a substituted token
 spoils only the seeds that look at it. Seeds of the benchmark items are hashed into a table; the seeds of every
-document at every position are looked up there; around each hit the document is laid on the item and the
-best-scoring ungapped stretch (a match +1, a mismatch -2) is found. An item is found in a document if such stretches
-hold at least `similarity` of its tokens.
+document at every position are looked up there; a hit lays the document on the whole item, on the hit's diagonal. An
+item is found in a document if at least `similarity` of its tokens are equal to the document's, on one diagonal or, where
+tokens were put in or left out, on several: either each token of the item lies on one of them and each change costs GAP
+tokens, or the tokens are those of the diagonals' best stretches (a match +1, a mismatch -2), whatever their order.
 
 The benchmark side is taken in blocks of at most MAX_BLOCK_CHARS characters, one pass over the documents each, so
 that what is broadcast is bounded whatever the benchmark's size.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 5, 8, 10))
 SIMILARITY = 0.8
+#: Tokens that a change to another diagonal has to gain more than.
+GAP = 2
 MAX_BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id long, item_id long, start_token long, n_matched long, n_item_tokens long, similarity double"
 _TOKEN = re.compile(r"[^\W_]+")
@@ -104,9 +107,12 @@ class Index:
             doc = np.searchsorted(bounds, pos, "right") - 1
             triples.append(np.stack([doc, item, pos - at], axis=1))
         found: dict[tuple[int, int], dict] = defaultdict(dict)
+        laid: dict[tuple[int, int], list[int]] = defaultdict(list)
         if triples:
             for doc, item, diagonal in np.unique(np.concatenate(triples), axis=0).tolist():
-                found[doc, item].update(self._stretch(ids, bounds[doc], bounds[doc + 1], item, diagonal))
+                laid[doc, item].append(diagonal)
+        for (doc, item), diagonals in laid.items():
+            found[doc, item] = self._matched(ids, bounds[doc], bounds[doc + 1], item, np.array(diagonals), similarity)
         for n, k in [(n, k) for k in np.flatnonzero(np.isin(ids, list(self.short))).tolist() for n in self.short[int(ids[k])]] if self.short else ():
             doc = int(np.searchsorted(bounds, k, "right")) - 1
             want = self.items[n][1]
@@ -117,16 +123,44 @@ class Index:
             if len(matched) >= similarity * len(want) - 1e-9:
                 yield doc, item_id, int(min(matched.values()) - bounds[doc]), len(matched), len(want)
 
-    def _stretch(self, ids: np.ndarray, start: int, end: int, item: int, diagonal: int) -> dict[int, int]:
-        """Item positions (and where they match) of the best stretch on a diagonal."""
+    def _matched(self, ids: np.ndarray, start: int, end: int, item: int, diagonals: np.ndarray, similarity: float) -> dict[int, int]:
+        """Item positions (and where they match) on the given diagonals; none if too few for `similarity`."""
         want = self.items[item][1]
-        a, b = max(start, diagonal), min(end, diagonal + len(want))
-        same = ids[a:b] == want[a - diagonal : b - diagonal]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(total)
-        last = int(np.argmax(total - low))
-        first = int(np.argmin(total[: last + 1]))
-        return {a + int(k) - diagonal: a + int(k) for k in np.flatnonzero(same[first:last]) + first}
+        n = len(want)
+        at = diagonals[:, None] + np.arange(n)
+        same = (at >= start) & (at < end)
+        same[same] = ids[at[same]] == np.broadcast_to(want, at.shape)[same]
+        if same.any(axis=0).sum() < similarity * n - 1e-9:
+            return {}
+        best = int(same.sum(axis=1).argmax())
+        ways = [{k: int(at[best, k]) for k in np.flatnonzero(same[best]).tolist()}]
+        if len(diagonals) > 1:
+            ways.append({k: int(at[d, k]) for k, d in enumerate(_path(same)) if same[d, k]})
+            ways.append({k: int(at[d, k]) for d, row in enumerate(same) for k in _stretch(row)})
+        return max(ways, key=len)
+
+
+def _path(same: np.ndarray) -> list[int]:
+    """The diagonal of each token that gives most equal tokens, less GAP for each change. same: (diagonal, token)."""
+    score, back = np.zeros(len(same), dtype=np.int64), np.empty(same.shape[::-1], dtype=np.int64)
+    for k in range(same.shape[1]):
+        top = int(score.argmax())
+        change = score[top] - GAP > score
+        back[k] = np.where(change, top, np.arange(len(same)))
+        score = np.where(change, score[top] - GAP, score) + same[:, k]
+    out = [int(score.argmax())]
+    for k in range(same.shape[1] - 1, 0, -1):
+        out.append(int(back[k, out[-1]]))
+    return out[::-1]
+
+
+def _stretch(same: np.ndarray) -> list[int]:
+    """The equal tokens of the best stretch on a diagonal."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    low = np.minimum.accumulate(total)
+    last = int(np.argmax(total - low))
+    first = int(np.argmin(total[: last + 1]))
+    return (np.flatnonzero(same[first:last]) + first).tolist()
 
 
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
