@@ -134,6 +134,35 @@ def test_near_copies(spark):
     assert sorted(x.doc_id for x in out.collect()) == sorted([g[0] for g in near.values()] + [1000 + k for k in range(20)] + [2000])
 
 
+def test_near_copies_whatever_repeats(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        w = [f"w{r.randrange(50_000)}" for _ in range(r.choice((30, 100, 400)))]
+        # A run of one word, and the last words replaced: sets alike, or just not.
+        for n in (0, len(w) // 3, len(w) // 4):
+            out = w + ["-"] * n
+            for at in range(r.randrange(3) * len(w) // 12 if n else 0):
+                out[at] = f"x{r.randrange(50_000)}"
+            rows.append((len(rows), " ".join(out)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    stay = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(like(a, b) for a in stay for b in stay if b < a)
+    assert len(stay) < len(rows) - 60 and all(any(like(a, b) for b in range(a)) for a in set(range(len(rows))) - stay)
+
+
+def test_kept_sets_are_not_alike():
+    r = np.random.default_rng(6)
+    kept, sets = simhash.Kept(0.8), []
+    for _ in range(600):
+        own = np.unique(r.choice(30, r.integers(1, 12), replace=False)).astype(np.uint64)
+        alike = any(len(np.intersect1d(own, s)) >= 0.8 * len(np.union1d(own, s)) for s in sets)
+        assert kept.takes(own) is not alike
+        sets += [] if alike else [own]
+    assert len(sets) > 100
+
+
 # 2
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -17,7 +17,7 @@ empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -77,7 +77,17 @@ def shards(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def links(sharded: DataFrame, radius: int) -> DataFrame:
-    """Spanning stars (a, b) of every shard's components. Shards arrive sorted, one after the other."""
+    """Spanning stars (a, b) of the components of every shard (shard, fp, rep) under links within the radius."""
+
+    def label(fp: np.ndarray) -> np.ndarray:
+        values, first, of_value = np.unique(fp.view(np.uint64), return_index=True, return_inverse=True)
+        return first[forest(values, radius)[of_value]]
+
+    return _stars(sharded, label)
+
+
+def _stars(sharded: DataFrame, label_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b) for every row of a shard (shard, value, rep) that label_of, given the shard's values, puts with another. Shards arrive sorted, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.array([], dtype=np.int64)] * 3
@@ -89,13 +99,12 @@ def links(sharded: DataFrame, radius: int) -> DataFrame:
         yield of(kept)
 
     def of(columns: list[np.ndarray]) -> pa.RecordBatch:
-        shard, fp, rep = columns
+        shard, value, rep = columns
         a, b = [], []
         edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.array([0])
         for k in np.flatnonzero(np.diff(edges) > 1):
             lo, hi = edges[k], edges[k + 1]
-            values, first, of_value = np.unique(fp[lo:hi].view(np.uint64), return_index=True, return_inverse=True)
-            label = first[forest(values, radius)[of_value]]
+            label = label_of(value[lo:hi])
             tied = np.flatnonzero(label != np.arange(hi - lo))
             a.append(rep[lo:hi][tied])
             b.append(rep[lo:hi][label[tied]])
@@ -119,9 +128,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
 
 
 #: For near copies by similarity: shards are bands of two MinHash values; so many of them that two texts of similarity
-#: 0.8 share none with a chance of (1 - 0.8 ** 2) ** 10 = 4e-5. The radius is wide: such texts differ in about ten
-#: bits, but in more where a text repeats itself; unrelated texts differ in 32, and an exact count decides.
-COPY_WORDS, SIMILARITY, BANDS, COPY_RADIUS = 5, 0.8, 10, 24
+#: 0.8 share none with a chance of (1 - 0.8 ** 2) ** 10 = 4e-5. Texts that share one are compared by an exact count
+#: unless their sets' sizes alone rule the similarity out.
+COPY_WORDS, SIMILARITY, BANDS = 5, 0.8, 10
 #: Parts that a component of near copies is dealt to before its survivors meet.
 SALTS = 16
 _MIX = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -133,7 +142,7 @@ def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, n: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, d1, d2, fp, bands): two digests of the text's set of shingles, its fingerprint, and its bands."""
+    """(doc_id, d1, d2, size, bands): two digests of the text's set of shingles, its size, and its bands."""
 
     def one(text: str | None) -> tuple[int, int, int, list[int]]:
         h = shingle_hashes(text, n)
@@ -143,50 +152,64 @@ def profiles(docs: DataFrame, n: int = COPY_WORDS) -> DataFrame:
         bands = _mixed(low[::2] + _mixed(low[1::2], _MIX[1]), _MIX[2]) + np.arange(BANDS, dtype=np.uint64)
         own = np.unique(h)
         digests = np.array([_mixed(own, m).sum() for m in _MIX[3:5]], dtype=np.uint64)
-        return *digests.view(np.int64).tolist(), int(np.uint64(fingerprint(h)).view(np.int64)), bands.view(np.int64).tolist()
+        return *digests.view(np.int64).tolist(), len(own), bands.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t.as_py()) for t in batch.column(1)]
-            d1, d2, fp, bands = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, fp)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "fp", "bands"])
+            d1, d2, size, bands = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "size", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>")
+
+
+def by_size(similarity: float) -> Callable[[np.ndarray], np.ndarray]:
+    """For the sizes of a shard's sets, the first of those that each may be similar to, directly or over others between."""
+
+    def label(sizes: np.ndarray) -> np.ndarray:
+        order = np.argsort(sizes, kind="stable")
+        low, high = sizes[order][:-1], sizes[order][1:]
+        starts = np.append(0, np.flatnonzero(low < similarity * high - 1e-9) + 1)
+        out = np.empty_like(order)
+        out[order] = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(order))))
+        return out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, fp long, bands array<long>")
+    return label
 
 
 class Kept:
-    """Sets of hashes, none of them similar to another: an inverted index of most, and the latest few side by side."""
+    """Sets of hashes, none of them similar to another: inverted indexes, each at least twice the next, and the latest few side by side."""
 
-    def __init__(self, similarity: float, radius: int):
-        self.similarity, self.radius = similarity, radius
-        self.sizes = np.array([], dtype=np.int64)
-        self.hashes, self.owners = np.array([], dtype=np.uint64), np.array([], dtype=np.int32)
-        self.latest: list[tuple[np.ndarray, int]] = []
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        #: Sizes of the sets; all their hashes, ascending; the number of the set of each.
+        self.indexes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.latest: list[np.ndarray] = []
 
-    def takes(self, own: np.ndarray, fp: int) -> bool:
+    def takes(self, own: np.ndarray) -> bool:
         """Takes the set in unless it is similar to one that is in."""
-        if self._indexed(own) or any((f ^ fp).bit_count() <= self.radius and self._similar(s, own) for s, f in self.latest):
+        if any(self._similar(s, own) for s in self.latest) or any(self._indexed(own, *x) for x in self.indexes):
             return False
-        self.latest.append((own, fp))
-        if len(self.latest) > 32 + len(self.sizes) // 8:
-            first = len(self.sizes)
-            hashes = np.concatenate([self.hashes, *(s for s, _ in self.latest)])
-            owners = np.concatenate([self.owners, *(np.full(len(s), first + k, dtype=np.int32) for k, (s, _) in enumerate(self.latest))])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.owners = hashes[order], owners[order]
-            self.sizes = np.append(self.sizes, [len(s) for s, _ in self.latest])
+        self.latest.append(own)
+        if len(self.latest) == 16:
+            new = np.array([len(s) for s in self.latest]), np.concatenate(self.latest), np.repeat(np.arange(16, dtype=np.int32), [len(s) for s in self.latest])
+            while self.indexes and len(self.indexes[-1][0]) < 2 * len(new[0]):
+                old = self.indexes.pop()
+                new = np.append(old[0], new[0]), np.append(old[1], new[1]), np.append(old[2], new[2] + np.int32(len(old[0])))
+            order = np.argsort(new[1], kind="stable")
+            self.indexes.append((new[0], new[1][order], new[2][order]))
             self.latest = []
         return True
 
-    def _indexed(self, own: np.ndarray) -> bool:
-        """Shared hashes are counted for all indexed sets at once."""
-        lo = np.searchsorted(self.hashes, own)
-        n = np.searchsorted(self.hashes, own, "right") - lo
+    def _indexed(self, own: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> bool:
+        """Shared hashes are counted for all sets of an index at once."""
+        lo = np.searchsorted(hashes, own)
+        n = np.searchsorted(hashes, own, "right") - lo
         total = int(n.sum())
         if not total:
             return False
-        both = np.bincount(self.owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)], minlength=len(self.sizes))
-        return bool((both >= self.similarity * (self.sizes + len(own) - both) - 1e-9).any())
+        both = np.bincount(owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)], minlength=len(sizes))
+        return bool((both >= self.similarity * (sizes + len(own) - both) - 1e-9).any())
 
     def _similar(self, one: np.ndarray, other: np.ndarray) -> bool:
         a, b = len(one), len(other)
@@ -196,37 +219,35 @@ class Kept:
         return both >= self.similarity * (a + b - both) - 1e-9
 
 
-def _keep_first(docs: DataFrame, keys: list[str], n: int, similarity: float, radius: int) -> DataFrame:
+def _keep_first(docs: DataFrame, keys: list[str], n: int, similarity: float) -> DataFrame:
     """Of (*keys, doc_id, text): the rows that stay when, per keys, each row goes that is similar to a smaller one that stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, Kept(similarity, radius)
+        now, kept = None, Kept(similarity)
         for batch in batches:
             stay = []
             for *key, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    now, kept = key, Kept(similarity, radius)
-                h = shingle_hashes(text, n)
-                stay.append(kept.takes(np.unique(h), fingerprint(h)))
+                    now, kept = key, Kept(similarity)
+                stay.append(kept.takes(np.unique(shingle_hashes(text, n))))
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     dealt = docs.select(*keys, "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
     return dealt.mapInArrow(run, ", ".join([*(f"{k} long" for k in [*keys, "doc_id"]), "text string"]))
 
 
-def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = COPY_RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without copies: of texts whose sets of n-word shingles have a Jaccard similarity of `similarity` or more, the smallest doc_id stays.
 
-    Texts of one set go at once, by digest. The others' fingerprints meet in shards, walk the shard's BK-tree, and
-    make candidate components; in each, a document goes only if one that stays is similar by exact count (a document
+    Texts of one set go at once, by digest. The others meet in shards by band and make candidate components; in each, a document goes only if one that stays is similar by exact count (a document
     that stays within its part of a component may still give way to one of another part, similar to it). Rows without
     a doc_id stay; of several rows of one doc_id all stay if one does.
     """
     found = materialize(profiles(docs, n), "profiles")
     first = materialize(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "first")
     alone = found.join(first, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    shard = alone.select(F.explode("bands").alias("shard"), "fp", F.col("doc_id").alias("rep"))
-    tied = components(links(shard, radius))
+    shard = alone.select(F.explode("bands").alias("shard"), "size", F.col("doc_id").alias("rep"))
+    tied = components(_stars(shard, by_size(similarity)))
     tied = materialize(tied.union(tied.select(F.col("component"), "component").distinct()).toDF("doc_id", "component"), "tied")
     # The texts move once, to learn what became of them; from then on only the candidates do.
     id_, component = fresh(docs, "tm_id", "tm_component")
@@ -234,7 +255,7 @@ def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = S
     marked = materialize(docs.join(status, docs["doc_id"].cast("long") == F.col(id_)), "marked")
     candidates = marked.where(F.col(component).isNotNull())
     texts = candidates.select(F.col(component).alias("component"), F.pmod(F.xxhash64(id_), F.lit(SALTS)).alias("salt"), F.col(id_).alias("doc_id"), "text")
-    once = _keep_first(texts, ["component", "salt"], n, similarity, radius)
-    stay = materialize(_keep_first(once, ["component"], n, similarity, radius).select(F.col("doc_id").alias(id_)), "stay")
+    once = _keep_first(texts, ["component", "salt"], n, similarity)
+    stay = materialize(_keep_first(once, ["component"], n, similarity).select(F.col("doc_id").alias(id_)), "stay")
     whole = marked.where(F.col(component).isNull()).unionByName(candidates.join(stay, id_, "left_semi"))
     return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
