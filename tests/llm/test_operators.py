@@ -198,6 +198,18 @@ def test_field_adds_and_keeps(spark, awkward):
     assert pii.find(awkward).count() == len(AWKWARD)
 
 
+def test_field_reads_spelled_out_addresses_without_a_number_near():
+    lead = "a long and quiet sentence without any sign that goes on for more than sixty characters "
+    cases = {"write to jane at example dot com": "jane at example dot com", "please mail Jane AT Example DOT Org today": "Jane AT Example DOT Org", "ask bob.smith at mail dot example dot net": "bob.smith at mail dot example dot net", "she works at the school": None, "we looked at the wall and the dot on it": None}
+    for text, want in cases.items():
+        for t in (text, lead + text + " " + lead):
+            assert [t[a:b] for _, a, b in pii.all_spans([t], pii.default_field())[0][1]] == ([want] if want else []), t
+    held_out = pii.spelled_table(300, seed=98)
+    pairs = [({(k, a + len(lead), b + len(lead)) for k, a, b in spans}, set(pii.all_spans([lead + t + " " + lead], pii.default_field())[0][1])) for t, spans in held_out]
+    wanted = sum(len(want) for want, _ in pairs)
+    assert sum(len(want & got) for want, got in pairs) >= 0.95 * wanted and sum(len(got - want) for want, got in pairs) <= 0.02 * wanted
+
+
 # 3
 
 

@@ -8,8 +8,8 @@ Base patterns, leftmost and without overlaps within a kind, whatever fails its c
 
 The field labels tokens by their word shape and their neighbours' shapes; it learns from labelled_table(), a small
 table of sentences, and finds forms that the patterns miss (addresses that spell out "at" and "dot", national phone
-numbers). It reads windows around anchors (a digit, "@", "(at)" or "[at]"); tokens of other shapes are never in a
-span of their own. Its spans are checked like the base ones (digits, Luhn, parts) and never replace or overlap them.
+numbers). It reads windows around anchors (a digit, "@", or the word "at" or "dot" in any case); what has none of them
+is no span. Its spans are checked like the base ones (digits, Luhn, parts) and never replace or overlap them.
 
 Defined results: a null text counts as empty; a text without spans gives counts of zero and the digest of nothing;
 repeated rows are searched each by itself; an empty table gives an empty table. Offsets are code points.
@@ -206,7 +206,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def default_field() -> Field:
-    return Field().fit(labelled_table())
+    return Field().fit(labelled_table() + spelled_table())
 
 
 def labelled_table(n: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
@@ -249,7 +249,29 @@ def labelled_table(n: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
     return table
 
 
-_ANCHOR = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
+def spelled_table(n: int = 240, seed: int = 8) -> list[tuple[str, list[Span]]]:
+    """Addresses that spell out "at" and "dot", without a number about, and sentences in which the two words are no address."""
+    r = np.random.default_rng(seed)
+    word = lambda: "".join(r.choice(list("aeiounrstldmhbcfgkpvw"), r.integers(2, 11)))
+    pick = lambda *x: x[r.integers(len(x))]
+    some = lambda k: " ".join(w.title() if r.random() < 0.1 else w for w in (word() for _ in range(k)))
+    table = []
+    for k in range(n):
+        text, spans = some(r.integers(0, 5)), []
+        text += pick(" ", ", ", ": ", ". ") if text else ""
+        if k % 4:
+            at, dot = pick((" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"))
+            found = pick("", "", "", f"{word()}.", f"{word()}_") + word() + at + word() + pick("", "", dot + word()) + dot + pick("com", "org", "net", word()[:3])
+            found = pick(found, found, found, found.title(), found.upper())
+            spans.append(("email", len(text), len(text) + len(found)))
+            text += found
+        else:
+            text += pick(f"{word()} at the {word()}", f"{word()} at {word()} {word()}", f"{word()} dot {word()}", f"at {word()} {word()} dot", f"{word()} at the dot {word()}", f"the dot at {word()}", f"at {word()}, dot {word()}")
+        table.append((text + pick("", ".", " ", ", ", ". ") + " " + some(r.integers(0, 4)), spans))
+    return table
+
+
+_ANCHOR = re.compile(r"[0-9@]|(?<![^\W\d_])(?:at|dot)(?![^\W\d_])", re.IGNORECASE)
 #: Characters to both sides of an anchor that a window holds at least.
 WINDOW = 60
 
