@@ -380,6 +380,31 @@ def test_mixing_reaches_its_margins(spark, docs, awkward):
     assert mixing.mix(awkward.limit(0), margins).count() == 0
 
 
+def test_bounded_mixing_meets_its_margins(spark, awkward):
+    r = random.Random(7)
+    cells = {(s, lang): float(r.randrange(1, 10) ** 4) for s in "abcd" for lang in "wxyz"}
+    keys, n = list(cells), np.array(list(cells.values()))
+    values = [[k[0] for k in keys], [k[1] for k in keys]]
+    off = lambda got, powers: max(abs(sum(g for g, k in zip(got, keys, strict=True) if k[m] == v) / sum(got) - sum(n[[k[m] == v for k in keys]]) ** powers[m] / sum(sum(n[[k[m] == u for k in keys]]) ** powers[m] for u in set(values[m]))) for m in (0, 1) for v in set(values[m]))
+    powers = [0.5, 0.4]
+    p = mixing.bounded_arrays(values, n, powers, 0.6)
+    factors = mixing.rake_arrays(values, n, powers, 100)
+    assert (0.6 * factors).max() > 1 and off(n * np.minimum(1, 0.6 * factors), powers) > 0.02
+    assert 0 < p.min() and p.max() <= 1 and off(n * p, powers) < 2e-6 and p @ n >= 0.999 * (factors @ n) / factors.max()
+    # The documents that are kept, of some thousands of one token each; on the driver and as a DataFrame.
+    n = np.array([k * 150 for k in range(1, 17)])
+    rows = [(j * 100 + k, *keys[k], "token") for k in range(16) for j in range(n[k])]
+    docs = spark.createDataFrame(rows, "doc_id long, s string, l string, text string")
+    kept = mixing.mix(docs, {"s": F.col("s"), "l": F.col("l")}, {"s": 0.3, "l": 0.3}, bounded=True)
+    count = collections.Counter((x.s, x.l) for x in kept.collect())
+    assert off([count[k] for k in keys], [0.3, 0.3]) < 0.02
+    frame = spark.createDataFrame([(*k, int(v)) for k, v in zip(keys, n, strict=True)], "s string, l string, tokens long")
+    apart = {(x.s, x.l): 0.6 * x.factor for x in mixing.rake(frame, {"s": 0.3, "l": 0.3}, rounds=6, max_cells=0, bound=0.6).collect()}
+    assert max(apart.values()) <= 1 + 1e-9 and off([v * apart[k] for k, v in zip(keys, n, strict=True)], [0.3, 0.3]) < 1e-3
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+    assert mixing.mix(awkward, margins, bounded=True).columns == awkward.columns and mixing.mix(awkward.limit(0), margins, bounded=True).count() == 0
+
+
 # 8
 
 

@@ -3,7 +3,10 @@
 Documents fall into cells (source, lang, topic). Token counts of the cells are raked, margin by margin, until each
 margin has its target share of tokens; a cell's factor is its raked share over its actual share, and a document of
 the cell is kept with probability min(1, rate * factor). Target shares are tokens ** power, per margin, so that large
-sources, languages and topics give way to small ones. The draw is a hash of doc_id: the same document always draws
+sources, languages and topics give way to small ones. Where rate * factor is over 1 the clip takes from a cell what its
+margins should have: the sample then misses its targets. With `bounded` the probabilities are raked under the bound of 1
+instead, and at the largest rate, `rate` at most, at which they meet the margins: the sample is smaller, its expected
+shares are the targets. The draw is a hash of doc_id: the same document always draws
 the same number, and repeated rows are kept or dropped together.
 
 Defined results: nulls in a margin are a value of their own; a null text has no tokens; a cell without tokens has
@@ -22,6 +25,8 @@ from tidemark.llm.common import fresh, materialize, words
 POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 ROUNDS = 20
 RATE = 0.6
+#: For bounded raking: rounds at most, error of a margin's share that counts as met, and rates tried below the largest.
+BOUNDED_ROUNDS, MET, TRIES = 400, 1e-6, 8
 #: Cells that are raked on the driver; more are raked as a DataFrame.
 MAX_CELLS = 100_000
 #: Stands for null in a margin.
@@ -45,28 +50,40 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
-    """cells (the margins and `tokens`) with `factor`; margins must not be null."""
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, max_cells: int = MAX_CELLS, bound: float | None = None) -> DataFrame:
+    """cells (the margins and `tokens`) with `factor`; margins must not be null. With `bound`, a rate, no bound * factor is over 1."""
     spark, margins = cells.sparkSession, list(powers)
     cells = materialize(cells, "cells")
     if cells.count() <= max_cells:
         rows = cells.collect()
-        factors = rake_arrays([[r[m] for r in rows] for m in margins], np.array([float(r["tokens"] or 0) for r in rows]), list(powers.values()), rounds)
+        given = [[r[m] for r in rows] for m in margins], np.array([float(r["tokens"] or 0) for r in rows]), list(powers.values())
+        factors = rake_arrays(*given, rounds) if bound is None else bounded_arrays(*given, bound) / bound
         return spark.createDataFrame([(*[r[m] for m in margins], float(f)) for r, f in zip(rows, factors, strict=True)], ", ".join([*(f"`{m}` string" for m in margins), "factor double"]))
-    return _rake_frame(cells, powers, rounds)
+    raked = _rake_frame(cells, powers, rounds)
+    if bound is None:
+        return raked
+    # Too many cells to look for the largest rate: the one at which the largest factor gives 1.
+    raked = materialize(raked, "factors")
+    return raked.withColumn("factor", F.col("factor") * F.lit(min(1.0, 1 / (bound * (raked.agg(F.max("factor")).first()[0] or 1.0)))))
 
 
-def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rounds: int) -> np.ndarray:
-    """The factor of each cell."""
-    total = tokens.sum()
-    if not total:
-        return np.ones(len(tokens))
+def _targets(values: list[list], tokens: np.ndarray, powers: list[float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each margin the number of each cell's value, and the target share of each value."""
     codes = [np.unique(np.array(v, dtype=object).astype(str), return_inverse=True)[1] for v in values]
     targets = []
     for code, power in zip(codes, powers, strict=True):
         sums = np.bincount(code, tokens)
         wanted = np.where(sums > 0, sums**power, 0.0)
         targets.append(wanted / wanted.sum())
+    return codes, targets
+
+
+def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rounds: int) -> np.ndarray:
+    """The factor of each cell."""
+    total = tokens.sum()
+    if not total:
+        return np.ones(len(tokens))
+    codes, targets = _targets(values, tokens, powers)
     share = weight = tokens / total
     for _ in range(rounds):
         for code, target in zip(codes, targets, strict=True):
@@ -75,6 +92,50 @@ def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rou
     return np.divide(weight, share, out=np.ones(len(tokens)), where=share > 0)
 
 
+def bounded_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rate: float) -> np.ndarray:
+    """The probability of each cell, at most 1: the margins of tokens * probability have their target shares."""
+    total = tokens.sum()
+    if not total:
+        return np.full(len(tokens), rate)
+    codes, targets = _targets(values, tokens, powers)
+    factor = rake_arrays(values, tokens, powers, BOUNDED_ROUNDS)
+    # A rate that does without the bound, and one over which some value has not tokens enough.
+    low = min(rate, 1 / factor.max())
+    high = min([rate, *(float((np.bincount(c, tokens)[t > 0] / (t[t > 0] * total)).min()) for c, t in zip(codes, targets, strict=True))])
+    best = np.minimum(low * factor, 1.0)
+    for k in range(TRIES + 1):
+        if high <= low:
+            break
+        at = high if not k else (low + high) / 2
+        p = _bounded(codes, targets, tokens, at)
+        if p is None:
+            high = at
+        else:
+            best, low = p, at
+    return np.where(tokens > 0, best, low)
+
+
+def _bounded(codes: list[np.ndarray], targets: list[np.ndarray], tokens: np.ndarray, rate: float) -> np.ndarray | None:
+    """Probabilities at this rate, or None if the margins are not met."""
+    total = tokens.sum()
+    weight = np.full(len(tokens), rate)
+    for _ in range(BOUNDED_ROUNDS):
+        for code, target in zip(codes, targets, strict=True):
+            by, capped = np.ones(len(target)), np.zeros(len(tokens), dtype=bool)
+            while True:
+                rest, free = target * rate * total - np.bincount(code, tokens * capped, len(target)), np.bincount(code, tokens * weight * ~capped, len(target))
+                by = np.divide(np.maximum(rest, 0), free, out=by, where=free > 0)
+                over = ~capped & (weight * by[code] > 1)
+                if not over.any():
+                    break
+                capped |= over
+            weight = np.minimum(weight * by[code], 1e12)
+        p = np.minimum(weight, 1.0)
+        if max(np.abs(np.bincount(c, tokens * p, len(t)) / (tokens @ p) - t).max() for c, t in zip(codes, targets, strict=True)) <= MET:
+            return p
+    return None
+
+
 def _rake_frame(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
     """The same as rake_arrays, for more cells than the driver should hold."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -93,13 +154,13 @@ def _rake_frame(cells: DataFrame, powers: dict[str, float], rounds: int) -> Data
     return now.select(*powers, F.when(F.col("tokens") > 0, F.col("weight") / (F.col("tokens") / float(total))).otherwise(1.0).alias("factor"))
 
 
-def mix(docs: DataFrame, margins: dict[str, Column], powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, details: tuple[str, str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, margins: dict[str, Column], powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, details: tuple[str, str] | None = None, bounded: bool = False) -> DataFrame:
     """The documents that the calibrated probabilities keep. `details` names columns for tokens and probability."""
     n, *own = fresh(docs, "tm_tokens", *[f"tm_{m}" for m in margins])
     factor, p = fresh(docs, "tm_factor", "tm_p")
     out = docs.withColumns({n: F.size(words(F.col("text"))).cast("long")} | {c: F.coalesce(v.cast("string"), F.lit(NONE)) for c, v in zip(own, margins.values(), strict=True)})
     cells = out.groupBy(*own).agg(F.sum(n).alias("tokens"))
-    raked = materialize(rake(cells, dict(zip(own, (powers[m] for m in margins), strict=True)), rounds), "raked").withColumnRenamed("factor", factor)
+    raked = materialize(rake(cells, dict(zip(own, (powers[m] for m in margins), strict=True)), rounds, bound=rate if bounded else None), "raked").withColumnRenamed("factor", factor)
     out = out.join(raked, own, "left").withColumn(p, F.least(F.lit(1.0), rate * F.coalesce(F.col(factor), F.lit(1.0))))
     out = out.where(draw(F.col("doc_id")) < F.col(p))
     more = [F.col(n).alias(details[0]), F.round(p, 9).alias(details[1])] if details else []
