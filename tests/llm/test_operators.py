@@ -426,6 +426,15 @@ def test_extraction_without_an_article(spark):
     assert (got[90], got[91], got[92]) == ("", "", "a b")
 
 
+def test_extraction_beside_a_small_main_block():
+    unique = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    again = "Read more of this and other stories in our daily letter"
+    pages = [f"<div class='entry-title'>Title {k}</div><div>{unique(k, 40)}</div><div>{again}</div>" for k in range(4)]
+    pages += [f"<article><p>{unique(k, 40)}</p></article><div>beside {k}</div><div>{again}</div>" for k in range(4, 8)]
+    got = html_text.main_texts([html_text.blocks(p) for p in pages])
+    assert got == [f"Title {k}\n{unique(k, 40)}" for k in range(4)] + [unique(k, 40) for k in range(4, 8)]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [

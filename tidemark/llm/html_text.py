@@ -4,8 +4,9 @@ A page becomes a stream of text blocks, each with a role: dropped (inside a menu
 advert, form or reader comments), main (inside an article or main element or a container named as one) or neutral.
 The token streams of a host's pages are concatenated and sorted as suffixes; substrings of at least MIN_TOKENS tokens
 that stand on enough distinct pages are boilerplate. Of neutral blocks the covered tokens go and the unique runs stay.
-Main blocks stay as they are: an article that several pages carry repeats as well, and is no boilerplate. A page with
-main text is its main text; only a page without has its neutral blocks judged.
+Main blocks stay as they are: an article that several pages carry repeats as well, and is no boilerplate. Neutral blocks
+go altogether if the page has as much main text as unique neutral text at least; a smaller main block (a marked title
+beside an unnamed body) leaves the neutral runs where they are.
 
 A host's pages are dealt to shards of about SHARD_CHARS characters of html, so that no task holds a whole large host;
 boilerplate repeats in every shard. Pages with equal streams count as one page.
@@ -166,16 +167,15 @@ def main_texts(pages: list[tuple[list[str], list[int]]]) -> list[str]:
     streams = [np.array([number(w, len(vocabulary)) for t in texts for w in t.split(" ")], dtype=np.int64) for texts, _ in pages]
     out = []
     for (texts, roles), covered in zip(pages, repeated(streams), strict=True):
-        if MAIN in roles:
-            out.append("\n".join(t for t, r in zip(texts, roles, strict=True) if r == MAIN))
-            continue
-        kept, at = [], 0
+        parts, at = [], 0
         for text, role in zip(texts, roles, strict=True):
             words = text.split(" ")
-            bad = covered[at : at + len(words)]
+            bad = covered[at : at + len(words)].tolist()
             at += len(words)
-            if role == NEUTRAL and (rest := [w for w, b in zip(words, bad.tolist(), strict=True) if not b]):
-                kept.append(" ".join(rest))
+            if role != DROPPED:
+                parts.append((role, words if role == MAIN else [w for w, b in zip(words, bad, strict=True) if not b]))
+        size = {role: sum(len(words) for r, words in parts if r == role) for role in (NEUTRAL, MAIN)}
+        kept = [" ".join(words) for role, words in parts if words and (role == MAIN or size[NEUTRAL] > size[MAIN])]
         out.append("\n".join(kept))
     return out
 
