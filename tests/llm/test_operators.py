@@ -255,6 +255,22 @@ def test_decontamination_counts_the_whole_item(spark):
     assert {(x.doc_id, x.item_id) for x in found.collect()} == near
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(8)
+    items, rows, near = [], [], set()
+    for n in range(6, 16):
+        w, i = [f"w{r.randrange(10**6)}" for _ in range(n)], len(items)
+        items.append((i, " ".join(w)))
+        for gone in [{k} for k in range(n)] + [set(r.sample(range(n), n // 5 + k % 2)) for k in range(30)]:
+            if n - len(gone) >= 0.8 * n:
+                near.add((len(rows), i))
+            rows.append((len(rows), r.choice(("", "before ")) + " ".join("other" if k in gone else x for k, x in enumerate(w)) + " after"))
+        # Pieces apart are no copy.
+        rows.append((len(rows), " ".join(w[: n // 2]) + " and " * 20 + " ".join(w[n // 2 :]) if n < 12 else ""))
+    found = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == near
+
+
 # 4
 
 

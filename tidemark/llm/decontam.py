@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,6 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 5, 8, 10))
+#: Also for items of fewer than SHORT tokens, whose seeds of six few substitutions spoil: where four of five tokens are
+#: equal, some three in a row are. Their hits count on one diagonal only. Pairs of equal seeds that are held at once.
+SHORT, SHORT_MASKS, PAIRS = 16, ((0, 1, 2),), 1 << 20
 SIMILARITY = 0.8
 #: Tokens that a change to another diagonal has to gain more than.
 GAP = 2
@@ -63,27 +66,32 @@ class Index:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64)))
         #: Items too short for a seed, by their first token.
         self.short: dict[int, list[int]] = defaultdict(list)
-        self.tables = []
         longest_unseeded = min(m[-1] for m in MASKS)
         for n, (_, ids) in enumerate(self.items):
             if len(ids) <= longest_unseeded:
                 self.short[int(ids[0])].append(n)
-        for mask in MASKS:
-            parts = [(_seeds(ids, mask, at), np.full(len(at), n), at) for n, (_, ids) in enumerate(self.items) if len(at := np.arange(max(0, len(ids) - mask[-1])))]
-            h, item, at = (np.concatenate(x) if parts else np.array([], dtype=t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int64), strict=True))
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], item[order], at[order]))
-        #: A bit per hash of 20 bits: most seeds of documents end here.
-        self.filters = []
-        for h, _, _ in self.tables:
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[h >> np.uint64(44)] = True
-            self.filters.append(bits)
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each mask: positions, items and positions in the item of equal seeds."""
+        self.tables = [self._table(mask, range(len(self.items))) for mask in MASKS]
+        few = [n for n, (_, ids) in enumerate(self.items) if longest_unseeded < len(ids) < SHORT]
+        self.short_tables = [self._table(mask, few) for mask in SHORT_MASKS]
+        #: The tokens of those items, to SHORT of them; -1 equals nothing.
+        self.rows, self.few = np.full(len(self.items), -1), np.full((len(few), SHORT), -1, dtype=np.int64)
+        for k, n in enumerate(few):
+            self.rows[n] = k
+            self.few[k, : len(self.items[n][1])] = self.items[n][1]
+
+    def _table(self, mask: tuple[int, ...], numbers: Iterable[int]) -> tuple:
+        """The mask, its seeds of the given items in order, their items and positions, and a bit per hash of 20 bits: most seeds of documents end there."""
+        parts = [(_seeds(ids, mask, at), np.full(len(at), n), at) for n in numbers if len(at := np.arange(max(0, len(ids := self.items[n][1]) - mask[-1])))]
+        h, item, at = (np.concatenate(x) if parts else np.array([], dtype=t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int64), strict=True))
+        order = np.argsort(h, kind="stable")
+        bits = np.zeros(1 << 20, dtype=bool)
+        bits[h >> np.uint64(44)] = True
+        return mask, h[order], item[order], at[order], bits
+
+    def hits(self, ids: np.ndarray, tables: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each table, some at a time: positions, items and positions in the item of equal seeds."""
         known = ids > 0
-        for mask, (h, item, at), bits in zip(MASKS, self.tables, self.filters, strict=True):
+        for mask, h, item, at, bits in tables:
             n = len(ids) - mask[-1]
             if n <= 0 or not len(h):
                 continue
@@ -95,15 +103,29 @@ class Index:
             keep = bits[seeds >> np.uint64(44)]
             where, seeds = where[keep], seeds[keep]
             lo, hi = np.searchsorted(h, seeds), np.searchsorted(h, seeds, "right")
-            count = hi - lo
-            if total := int(count.sum()):
-                rows = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(total)
-                yield np.repeat(where, count), item[rows], at[rows]
+            cuts = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PAIRS)) + 1
+            for where_, lo_, count in zip(*(np.split(x, cuts) for x in (where, lo, hi - lo)), strict=True):
+                if total := int(count.sum()):
+                    rows = np.repeat(lo_ - np.cumsum(count) + count, count) + np.arange(total)
+                    yield np.repeat(where_, count), item[rows], at[rows]
+
+    def _short(self, ids: np.ndarray, bounds: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
+        """(document, item, diagonal) of the short items that a diagonal holds."""
+        for pos, item, at in self.hits(ids, self.short_tables):
+            doc = np.searchsorted(bounds, pos, "right") - 1
+            want = self.few[self.rows[item]]
+            same, size = np.zeros(len(pos), dtype=np.int64), (want >= 0).sum(axis=1)
+            for k in range(SHORT):
+                place = pos - at + k
+                inside = (place >= bounds[doc]) & (place < bounds[doc + 1])
+                same += inside & (ids[np.where(inside, place, 0)] == want[:, k])
+            for k in np.flatnonzero(same >= similarity * size - 1e-9).tolist():
+                yield int(doc[k]), int(item[k]), int(pos[k] - at[k])
 
     def search(self, ids: np.ndarray, bounds: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item id, first token, tokens matched, tokens of the item) over documents laid end to end; bounds: their first tokens, and the end."""
         triples = []
-        for pos, item, at in self.hits(ids):
+        for pos, item, at in self.hits(ids, self.tables):
             doc = np.searchsorted(bounds, pos, "right") - 1
             triples.append(np.stack([doc, item, pos - at], axis=1))
         found: dict[tuple[int, int], dict] = defaultdict(dict)
@@ -113,6 +135,9 @@ class Index:
                 laid[doc, item].append(diagonal)
         for (doc, item), diagonals in laid.items():
             found[doc, item] = self._matched(ids, bounds[doc], bounds[doc + 1], item, np.array(diagonals), similarity)
+        for doc, item, diagonal in set(self._short(ids, bounds, similarity)):
+            one = self._matched(ids, bounds[doc], bounds[doc + 1], item, np.array([diagonal]), similarity)
+            found[doc, item] = max(found[doc, item], one, key=lambda x: (len(x), -min(x.values(), default=0)))
         for n, k in [(n, k) for k in np.flatnonzero(np.isin(ids, list(self.short))).tolist() for n in self.short[int(ids[k])]] if self.short else ():
             doc = int(np.searchsorted(bounds, k, "right")) - 1
             want = self.items[n][1]
