@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -288,7 +289,7 @@ def brute_dedup(rows):
     return out
 
 
-def test_suffix_dedup(spark, texts):
+def test_suffix_dedup(spark, texts, monkeypatch):
     r = random.Random(1)
     base = ["".join(r.choice("abé \n") for _ in range(400)) for _ in range(6)]
     rows = []
@@ -297,8 +298,59 @@ def test_suffix_dedup(spark, texts):
         x = "".join(c if r.random() > 0.004 else "Z" for c in b[a : a + r.randrange(400)])
         rows.append((10_000 + i, r.choice(["", "pre ", "ab" * 150, x]) + x + r.choice(["", "tail", x, "Wher. " * 60])))
     rows += [(1, None), (2, ""), (3, "a" * 1000), (4, "a" * 999 + "b"), *((20_000 + i, t) for i, t in texts.items())]
-    got = {x[0]: tuple(x[1:]) for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_dedup(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_dedup(rows)
+    assert {x[0]: tuple(x[1:]) for x in suffix_dedup.dedup(frame).collect()} == want
+    # Anchors of more than two contexts are split, and the most frequent ones count as hot; then texts are cut into pieces, and pieces collapse one by one.
+    monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda docs, size, real=suffix_dedup.hot_anchors: np.unique(np.append(real(docs, size), np.array([r.key for r in suffix_dedup.judged(suffix_dedup.anchors(docs, real(docs, size))).where("key % 3 = 0").collect()], dtype=np.int64).view(np.uint64))))
+    assert {x[0]: tuple(x[1:]) for x in suffix_dedup.dedup(frame, crowd=2).collect()} == want
+
+
+def test_suffix_dedup_in_pieces(spark):
+    """In one process, with pieces far shorter than the texts, and batches that part groups."""
+    r = random.Random(3)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    texts = {k: "".join(c if r.random() > 0.003 else "Z" for c in base[r.randrange(500) : r.randrange(1000, 3000)]) for k in range(12)}
+    docs = pa.record_batch({"uid": pa.array(list(texts), pa.int64()), "text": pa.array(list(texts.values()))})
+
+    class Frame:
+        """What mapInArrow does, with batches of three rows."""
+
+        def __init__(self, table):
+            self.table = table
+
+        def select(self, *names):
+            return Frame(self.table.select(list(names)))
+
+        def repartition(self, name):
+            return self
+
+        def sortWithinPartitions(self, *names):
+            return Frame(self.table.sort_by([(n, "ascending") for n in names]))
+
+        def mapInArrow(self, run, ddl):
+            return Frame(pa.Table.from_batches(list(run(iter(self.table.to_batches(max_chunksize=3))))))
+
+    old = suffix_dedup.PIECE, suffix_dedup.HELD
+    try:
+        for piece, held in ((200, 1000), (1 << 18, 1 << 24)):
+            suffix_dedup.PIECE, suffix_dedup.HELD = piece, held
+            rows = suffix_dedup.anchors(Frame(pa.Table.from_batches([docs])), np.zeros(0, dtype=np.uint64))
+            found = suffix_dedup.judged(rows).table.to_pylist()
+            needs = collections.defaultdict(list)
+            for x in found:
+                if x["key"] is not None:
+                    needs[x["uid"]].append({k: x[k] for k in ("first", "last", "key")})
+            packed = [{"uid": u, "size": len(texts[u]), "packed": pa.compress(texts[u].encode(), "zstd", asbytes=True), "needs": n} for u, n in needs.items()]
+            late = suffix_dedup.merged(suffix_dedup.transforms(Frame(pa.Table.from_pylist(packed)), 3)).table.to_pylist()
+            gone = {u: set() for u in texts}
+            for x in [*(x for x in found if x["key"] is None), *late]:
+                gone[x["uid"]] |= set(range(x["first"], x["last"] + 100))
+            want = brute_dedup(texts.items())
+            assert {u: len(g) for u, g in gone.items()} == {u: w[1] for u, w in want.items()} and sum(map(len, gone.values())) > 3000
+            assert late
+    finally:
+        suffix_dedup.PIECE, suffix_dedup.HELD = old
 
 
 def test_suffix_dedup_awkward(spark, awkward):
@@ -312,17 +364,23 @@ def test_merge_sorts_what_the_shards_hold():
     r = random.Random(4)
     parts = [["".join(r.choice("ab") for _ in range(r.randrange(1, 40))).encode() for _ in range(5)] for _ in range(3)]
     transforms = [suffix_dedup.Transform(p) for p in parts]
-    number, block, prefix, step = suffix_dedup.merge(transforms, depth=20)
+    number, prefix, step = suffix_dedup.merge(transforms, depth=20)
     turns = []
     for p, t in zip(parts, transforms, strict=True):
         whole = [(w + b"\xff")[k:] + (w + b"\xff")[:k] for w in p for k in range(len(w) + 1)]
         turns += [(whole[k] * 20)[:20] for k in t.order]
     merged = [turns[k] for k in number]
     assert merged == sorted(turns)
-    assert all((block[k] == block[k - 1]) == (merged[k] == merged[k - 1]) for k in range(1, len(merged)))
     for k in range(1, len(merged)):
         common = next((n for n in range(20) if merged[k][n] != merged[k - 1][n]), None)
         assert prefix[k] == (-1 if common is None else common - common % step)
+    # What travels is the byte before each rotation; the rest is read off it.
+    for p, t in zip(parts, transforms, strict=True):
+        came = suffix_dedup.Received(t.before(1).astype(np.uint8))
+        assert all((came.before(n) == t.before(n)).all() for n in (1, 2, 5))
+        order = [int(t.word[k]) for k in t.order if t.offset[k] == 0]
+        word, offset = came.words(np.array([len(p[k]) + 1 for k in order]))
+        assert [order[k] for k in word] == t.word[t.order].tolist() and offset.tolist() == t.offset[t.order].tolist()
 
 
 # 5
