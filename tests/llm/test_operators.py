@@ -333,7 +333,7 @@ def test_suffix_dedup_in_pieces(spark):
 
     old = suffix_dedup.PIECE, suffix_dedup.HELD
     try:
-        for piece, held in ((200, 1000), (1 << 18, 1 << 24)):
+        for piece, held in ((200, 30), (1 << 18, 1 << 19)):
             suffix_dedup.PIECE, suffix_dedup.HELD = piece, held
             rows = suffix_dedup.anchors(Frame(pa.Table.from_batches([docs])), np.zeros(0, dtype=np.uint64))
             found = suffix_dedup.judged(rows).table.to_pylist()
@@ -364,7 +364,7 @@ def test_merge_sorts_what_the_shards_hold():
     r = random.Random(4)
     parts = [["".join(r.choice("ab") for _ in range(r.randrange(1, 40))).encode() for _ in range(5)] for _ in range(3)]
     transforms = [suffix_dedup.Transform(p) for p in parts]
-    number, prefix, step = suffix_dedup.merge(transforms, depth=20)
+    number, prefix, step = suffix_dedup.merge(lambda n: np.concatenate([t.before(n) for t in transforms]), [len(t) for t in transforms], depth=20)
     turns = []
     for p, t in zip(parts, transforms, strict=True):
         whole = [(w + b"\xff")[k:] + (w + b"\xff")[:k] for w in p for k in range(len(w) + 1)]
@@ -375,12 +375,12 @@ def test_merge_sorts_what_the_shards_hold():
         common = next((n for n in range(20) if merged[k][n] != merged[k - 1][n]), None)
         assert prefix[k] == (-1 if common is None else common - common % step)
     # What travels is the byte before each rotation; the rest is read off it.
-    for p, t in zip(parts, transforms, strict=True):
-        came = suffix_dedup.Received(t.before(1).astype(np.uint8))
-        assert all((came.before(n) == t.before(n)).all() for n in (1, 2, 5))
-        order = [int(t.word[k]) for k in t.order if t.offset[k] == 0]
-        word, offset = came.words(np.array([len(p[k]) + 1 for k in order]))
-        assert [order[k] for k in word] == t.word[t.order].tolist() and offset.tolist() == t.offset[t.order].tolist()
+    came = suffix_dedup.Received([t.before(1).astype(np.uint8) for t in transforms])
+    assert all((came.before(n) == np.concatenate([t.before(n) for t in transforms])).all() for n in (1, 2, 5))
+    order = [(i, int(t.word[k])) for i, t in enumerate(transforms) for k in t.order if t.offset[k] == 0]
+    word, offset = came.words(np.array([len(parts[i][k]) + 1 for i, k in order]))
+    assert [order[k] for k in word] == [(i, k) for i, t in enumerate(transforms) for k in t.word[t.order].tolist()]
+    assert offset.tolist() == [k for t in transforms for k in t.offset[t.order].tolist()]
 
 
 # 5

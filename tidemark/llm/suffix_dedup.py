@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ from tidemark.llm.common import materialize, shared_path
 LENGTH, GRAM = 100, 24
 #: Distances from the anchor that a part of a split context spans, and contexts of an anchor beyond which it is split.
 SPLIT, CROWD = 20, 64
-#: Bytes of text that are hashed at once, that collapse together in a task, and that are sorted together in a shard.
-PIECE, HELD, SHARD = 1 << 18, 1 << 24, 1 << 22
+#: Bytes of text that are hashed at once, rows that collapse together in a task, and bytes of words that are sorted together in a shard.
+PIECE, HELD, SHARD = 1 << 18, 1 << 19, 1 << 20
 #: Suffixes of a unit, about, and bytes of the sample that shows hot anchors.
 UNIT, SAMPLE = 1 << 18, 1 << 24
 #: Bytes that a pass of the merge may take, most first; two always can.
@@ -161,9 +161,9 @@ class _Collapse:
         #: Hot keys, ascending; None: all are.
         self.hot, self.held, self.size = hot, [], 0
 
-    def add(self, key: np.ndarray, h: np.ndarray, uid: np.ndarray, at: np.ndarray, n: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    def add(self, key: np.ndarray, h: np.ndarray, uid: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((key, h, uid, at, n))
-        self.size += size
+        self.size += len(key)
         if self.size >= HELD:
             yield self.rows()
 
@@ -205,7 +205,7 @@ def anchors(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 doc, at, last, anchor = runs(hashes, len(data), starts, ends)
                 n = last - at + 1
                 h = _mix(hashes.of(LENGTH, at) * _ODD[3] ^ _mix(hashes.of(LENGTH, last) * _ODD[4] + n.astype(np.uint64)))
-                yield from found.add(hashes.of(GRAM, anchor), h, uids[part[doc]], at - starts[doc] + offset[doc], n, len(data))
+                yield from found.add(hashes.of(GRAM, anchor), h, uids[part[doc]], at - starts[doc] + offset[doc], n)
         yield found.rows()
 
     return docs.select("uid", "text").mapInArrow(run, _ROW)
@@ -300,10 +300,10 @@ def parts(texts: DataFrame, width: int) -> DataFrame:
                     size += len(held[-1][2])
                 uids.append(uid)
                 if size >= PIECE:
-                    yield from found.add(*cut(held, np.array(uids)), size)
+                    yield from found.add(*cut(held, np.array(uids)))
                     uids, held, size = [], [], 0
             if held:
-                yield from found.add(*cut(held, np.array(uids)), size)
+                yield from found.add(*cut(held, np.array(uids)))
         yield found.rows()
 
     def cut(held: list[tuple[int, int, bytes]], uids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -367,26 +367,24 @@ class Transform:
 
 
 class Received:
-    """A transform that came from elsewhere: nothing but the byte before each rotation, in sorted order."""
+    """Transforms that came from elsewhere, end to end: nothing but the byte before each rotation, in sorted order."""
 
-    def __init__(self, symbols: np.ndarray):
-        self.symbols = symbols
-        self.back = np.empty(len(symbols), dtype=np.int64)
-        self.back[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
-
-    def __len__(self) -> int:
-        return len(self.symbols)
+    def __init__(self, shards: list[np.ndarray]):
+        self.sizes = [len(x) for x in shards]
+        self.symbols = np.concatenate(shards)
+        self.back = np.empty(len(self.symbols), dtype=np.int64)
+        self.back[np.argsort(np.repeat(np.arange(len(shards)) << 8, self.sizes) | self.symbols, kind="stable")] = np.arange(len(self.symbols))
 
     def before(self, n: int) -> np.ndarray:
-        out, at = np.zeros(len(self), dtype=np.uint64), np.arange(len(self))
+        out, at = np.zeros(len(self.symbols), dtype=np.uint64), np.arange(len(self.symbols))
         for k in range(n):
             out |= self.symbols[at].astype(np.uint64) << np.uint64(8 * k)
             at = self.back[at]
         return out
 
     def words(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each rotation its word, numbered as their whole words are sorted, and its offset. sizes: of the words with their ends."""
-        word, offset = np.empty(len(self), dtype=np.int64), np.zeros(len(self), dtype=np.int64)
+        """Of each rotation its word, numbered shard by shard as the whole words are sorted, and its offset. sizes: of the words with their ends."""
+        word, offset = np.empty(len(self.symbols), dtype=np.int64), np.zeros(len(self.symbols), dtype=np.int64)
         at = np.flatnonzero(self.symbols == END)
         number = np.arange(len(at))
         word[at] = number
@@ -398,11 +396,11 @@ class Received:
         return word, offset
 
 
-def _symbols(transforms: list, depth: int) -> tuple[np.ndarray, int]:
+def _symbols(before: Callable[[int], np.ndarray], depth: int) -> tuple[np.ndarray, int]:
     """The transforms end to end, over the longest blocks that are few enough to number in two bytes, and that length."""
     for step in STEPS:
         if depth % step == 0:
-            blocks = np.concatenate([t.before(step) for t in transforms])
+            blocks = before(step)
             if step == STEPS[-1]:
                 return blocks.astype(np.uint16), step
             values, number = np.unique(blocks, return_inverse=True)
@@ -411,22 +409,22 @@ def _symbols(transforms: list, depth: int) -> tuple[np.ndarray, int]:
     raise ValueError("an odd depth")
 
 
-def merge(transforms: list, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
-    """The interleave of the shards' rotations by their first `depth` bytes (an even number).
+def merge(before: Callable[[int], np.ndarray], sizes: list[int], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
+    """The interleave of the shards' rotations by their first `depth` bytes (an even number). before(n): the n bytes before each, shards end to end; sizes: of the shards.
 
     Returns, in merged order, each rotation's number in the shards laid end to end, and the common prefix with its
     predecessor as far as it was found to end (-1: not within depth), rounded down to a multiple of the last value
     returned.
     """
-    symbols, step = _symbols(transforms, depth)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(transforms) <= 1 << 16 else np.int64), [len(t) for t in transforms])
+    symbols, step = _symbols(before, depth)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int64), sizes)
     block, prefix = np.zeros(len(symbols), dtype=np.int32), np.full(len(symbols), -1, dtype=np.int16)
-    before, new = np.empty_like(symbols), np.ones(len(symbols), dtype=bool)
+    own, new = np.empty_like(symbols), np.ones(len(symbols), dtype=bool)
     for known in range(0, depth, step):
         # The k-th rotation of a shard in the interleave is the shard's k-th.
-        before[np.argsort(shard, kind="stable")] = symbols
-        deal = np.argsort(before, kind="stable")
-        shard, block, first = shard[deal], block[deal], before[deal]
+        own[np.argsort(shard, kind="stable")] = symbols
+        deal = np.argsort(own, kind="stable")
+        shard, block, first = shard[deal], block[deal], own[deal]
         new[1:] = (block[1:] != block[:-1]) | (first[1:] != first[:-1])
         parted = int(block.max(initial=-1)) if known else -1
         block = np.cumsum(new, dtype=np.int32)
@@ -470,16 +468,11 @@ def transforms(texts: DataFrame, units: int) -> DataFrame:
 
 def repeats(unit: list[tuple[bytes, list[int], list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, first, last) of the windows that are not the earliest of their string; unit: the transforms of one unit, with their words' places."""
-    shards = [Received(np.frombuffer(x[0], dtype=np.uint8)) for x in unit]
-    number, prefix, _ = merge(shards)
+    came = Received([np.frombuffer(x[0], dtype=np.uint8) for x in unit])
+    number, prefix, _ = merge(came.before, came.sizes)
     uid, first, last = (np.array([v for x in unit for v in x[k]], dtype=np.int64) for k in (1, 2, 3))
     n = last - first + 1
-    words, base = [], 0
-    for s, x in zip(shards, unit, strict=True):
-        word, offset = s.words(n[base : base + len(x[1])] + LENGTH)
-        words.append((word + base, offset))
-        base += len(x[1])
-    word, offset = (np.concatenate(x)[number] for x in zip(*words, strict=True))
+    word, offset = (x[number] for x in came.words(n + LENGTH))
     # An interval goes on as long as no pass has parted it.
     interval, window = np.cumsum(prefix >= 0), offset < n[word]
     word, offset, interval = word[window], offset[window], interval[window]
