@@ -153,6 +153,33 @@ def test_near_copies_whatever_repeats(spark):
     assert len(stay) < len(rows) - 60 and all(any(like(a, b) for b in range(a)) for a in set(range(len(rows))) - stay)
 
 
+def brute_stays(texts, similarity=0.8):
+    """In order of id, each goes that is similar to one that stays."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    out = []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[k]) >= similarity * len(sets[i] | sets[k]) - 1e-9 for k in out):
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_copies_by_brute_force(spark, block):
+    """Chains of texts, each a little unlike the one before, whose ends are not alike: whatever the blocks, none is lost."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(50_000)}"
+    texts = {}
+    for _ in range(6):
+        w = [word() for _ in range(120)]
+        for _ in range(14):
+            w = list(w)
+            at = r.randrange(115)
+            w[at : at + r.choice((1, 3))] = [word() for _ in range(r.choice((1, 2, 4)))]
+            texts[r.randrange(10**6)] = " ".join(w)
+    stay = sorted(x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=block).collect())
+    assert stay == brute_stays(texts) and 12 < len(stay) < len(texts) - 12
+
+
 def test_kept_sets_are_not_alike():
     r = np.random.default_rng(6)
     kept, sets = simhash.Kept(0.8), []

@@ -127,13 +127,13 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For near copies by similarity: shards are bands of two MinHash values; so many of them that two texts of similarity
-#: 0.8 share none with a chance of (1 - 0.8 ** 2) ** 10 = 4e-5. Texts that share one are compared by an exact count
+#: For near copies by similarity: shards are bands of ROWS MinHash values; so many of them that two texts of similarity
+#: 0.8 share none with a chance of (1 - 0.8 ** 4) ** 20 = 3e-5. Texts that share one are compared by an exact count
 #: unless their sets' sizes alone rule the similarity out.
-COPY_WORDS, SIMILARITY, BANDS = 5, 0.8, 10
-#: Parts that a component of near copies is dealt to before its survivors meet.
-SALTS = 16
-_MIX = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+COPY_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: Documents, and shingles in all, that one task judges at once: first and at most (each round doubles the first).
+BLOCK, MAX_BLOCK, MAX_SHINGLES = 256, 1 << 14, 1 << 22
+_MIX = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -141,40 +141,48 @@ def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def bands(h: np.ndarray) -> np.ndarray:
+    """The bands of a set of hashes."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(h), 2048):
+        low = np.minimum(low, _mixed(h[None, k : k + 2048], _MIX[:, None]).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed(out + low[k::ROWS], _MIX[k])
+    return out
+
+
 def profiles(docs: DataFrame, n: int = COPY_WORDS) -> DataFrame:
     """(doc_id, d1, d2, size, bands): two digests of the text's set of shingles, its size, and its bands."""
 
     def one(text: str | None) -> tuple[int, int, int, list[int]]:
-        h = shingle_hashes(text, n)
-        if not len(h):
+        own = np.unique(shingle_hashes(text, n))
+        if not len(own):
             return 0, 0, 0, []
-        low = np.array([_mixed(h, m).min() for m in _MIX])
-        bands = _mixed(low[::2] + _mixed(low[1::2], _MIX[1]), _MIX[2]) + np.arange(BANDS, dtype=np.uint64)
-        own = np.unique(h)
         digests = np.array([_mixed(own, m).sum() for m in _MIX[3:5]], dtype=np.uint64)
-        return *digests.view(np.int64).tolist(), len(own), bands.view(np.int64).tolist()
+        return *digests.view(np.int64).tolist(), len(own), bands(own).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t.as_py()) for t in batch.column(1)]
-            d1, d2, size, bands = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "size", "bands"])
+            d1, d2, size, found = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "size", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>")
 
 
-def by_size(similarity: float) -> Callable[[np.ndarray], np.ndarray]:
-    """For the sizes of a shard's sets, the first of those that each may be similar to, directly or over others between."""
+def shared_bands(found: DataFrame, similarity: float) -> DataFrame:
+    """(shard, level, doc_id) of (doc_id, size, bands). Sets that may be similar are at one level, or at neighbouring ones."""
+    level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity)) - 1e-9).cast("int")
+    return found.select(F.explode("bands").alias("shard"), level.alias("level"), "doc_id")
 
-    def label(sizes: np.ndarray) -> np.ndarray:
-        order = np.argsort(sizes, kind="stable")
-        low, high = sizes[order][:-1], sizes[order][1:]
-        starts = np.append(0, np.flatnonzero(low < similarity * high - 1e-9) + 1)
-        out = np.empty_like(order)
-        out[order] = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(order))))
-        return out
 
-    return label
+def candidate_links(shards: DataFrame) -> DataFrame:
+    """(a, b): documents of a shard (shard, level, doc_id) hang on the smallest of their level, and that on the smallest of the next level."""
+    low = shards.groupBy("shard", "level").agg(F.min("doc_id").alias("b"))
+    own = shards.join(low, ["shard", "level"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    above = low.select("shard", (F.col("level") + 1).alias("level"), F.col("b").alias("a"))
+    return own.union(low.join(above, ["shard", "level"]).select("a", "b")).distinct()
 
 
 class Kept:
@@ -188,7 +196,7 @@ class Kept:
 
     def takes(self, own: np.ndarray) -> bool:
         """Takes the set in unless it is similar to one that is in."""
-        if any(self._similar(s, own) for s in self.latest) or any(self._indexed(own, *x) for x in self.indexes):
+        if any(similar(s, own, self.similarity) for s in self.latest) or any(self._indexed(own, *x) for x in self.indexes):
             return False
         self.latest.append(own)
         if len(self.latest) == 16:
@@ -211,51 +219,113 @@ class Kept:
         both = np.bincount(owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)], minlength=len(sizes))
         return bool((both >= self.similarity * (sizes + len(own) - both) - 1e-9).any())
 
-    def _similar(self, one: np.ndarray, other: np.ndarray) -> bool:
-        a, b = len(one), len(other)
-        if min(a, b) < self.similarity * max(a, b):
-            return False
-        both = len(np.intersect1d(one, other, assume_unique=True))
-        return both >= self.similarity * (a + b - both) - 1e-9
+
+def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    a, b = len(one), len(other)
+    if min(a, b) < similarity * max(a, b):
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both >= similarity * (a + b - both) - 1e-9
 
 
-def _keep_first(docs: DataFrame, keys: list[str], n: int, similarity: float) -> DataFrame:
-    """Of (*keys, doc_id, text): the rows that stay when, per keys, each row goes that is similar to a smaller one that stays."""
+def _keep_first(docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Of (component, doc_id, text): the (component, doc_id) that stay when, per component, each goes that is similar to a smaller one that stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, Kept(similarity)
         for batch in batches:
             stay = []
-            for *key, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
-                    now, kept = key, Kept(similarity)
+            for component, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != now:
+                    now, kept = component, Kept(similarity)
                 stay.append(kept.takes(np.unique(shingle_hashes(text, n))))
-            yield batch.filter(pa.array(stay, pa.bool_()))
+            yield batch.filter(pa.array(stay, pa.bool_())).select(["component", "doc_id"])
 
-    dealt = docs.select(*keys, "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return dealt.mapInArrow(run, ", ".join([*(f"{k} long" for k in [*keys, "doc_id"]), "text string"]))
+    dealt = docs.select("component", "doc_id", "text").repartition("component").sortWithinPartitions("component", "doc_id")
+    return dealt.mapInArrow(run, "component long, doc_id long")
 
 
-def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without copies: of texts whose sets of n-word shingles have a Jaccard similarity of `similarity` or more, the smallest doc_id stays.
+def _alike(pairs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The doc_id of each (doc_id, text, other) whose sets are similar; other: a text."""
 
-    Texts of one set go at once, by digest. The others meet in shards by band and make candidate components; in each, a document goes only if one that stays is similar by exact count (a document
-    that stays within its part of a component may still give way to one of another part, similar to it). Rows without
-    a doc_id stay; of several rows of one doc_id all stay if one does.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one `other` often follow each other.
+        last, sets = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            keep = []
+            for _, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is None or other != last:
+                    last, sets = other, np.unique(shingle_hashes(other, n))
+                keep.append(similar(np.unique(shingle_hashes(text, n)), sets, similarity))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id"])
+
+    return pairs.select("doc_id", "text", "other").mapInArrow(run, "doc_id long")
+
+
+def _blocks(open_: DataFrame, block: int, max_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(component, doc_id, size) in two: whole components up to `block` documents, and of the others about so many with the smallest ids; and what is left of those."""
+    per = open_.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    # So many halvings of a component as make its first part small enough.
+    halvings = F.ceil(F.log2(F.greatest(F.col("n") / float(block), F.col("w") / float(max_shingles)))).cast("int")
+    large = materialize(per.where((F.col("n") > block) | (F.col("w") > max_shingles)).select("component", F.least(F.greatest(halvings, F.lit(1)), F.lit(30)).alias("halvings")), "large")
+    ends = open_.join(large, "component").groupBy("component", "halvings").agg(F.percentile_approx("doc_id", [2.0**-k for k in range(1, 31)], 100_000).alias("ends"))
+    cut = ends.select("component", F.element_at("ends", F.col("halvings")).alias("cut"))
+    now = open_.join(cut, "component", "left")
+    return now.where("cut is null or doc_id <= cut").drop("cut"), now.where("doc_id > cut").drop("cut")
+
+
+def stays(open_: DataFrame, shards: DataFrame, texts: DataFrame, n: int, similarity: float, block: int = BLOCK, max_block: int = MAX_BLOCK, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """The doc_id of (component, doc_id, size) that stay when, in order of doc_id, each goes that is similar to a smaller one that stays and shares a shard with it.
+
+    A task judges whole components, or a bounded block of a larger one's smallest documents; what stays of a block is
+    then compared with the component's later documents as a join by shard, pair by pair, and the next round goes on with
+    what is left of them. texts: (doc_id, text), shards: (shard, level, doc_id).
+    """
+    kept = []
+    while True:
+        now, later = (materialize(x, tag) for x, tag in zip(_blocks(open_, block, max_shingles), ("now", "later"), strict=True))
+        stay = materialize(_keep_first(now.select("component", "doc_id").join(texts, "doc_id"), n, similarity), "stay")
+        kept.append(stay.select("doc_id"))
+        if later.isEmpty():
+            break
+        news = stay.join(later.select("component").distinct(), "component", "left_semi")
+        one = shards.join(later.select("doc_id"), "doc_id", "left_semi")
+        other = shards.join(news.select("doc_id"), "doc_id", "left_semi").select("shard", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("level"), F.col("doc_id").alias("kept"))
+        pairs = materialize(one.join(other, ["shard", "level"]).select("doc_id", "kept").distinct(), "pairs")
+        both = pairs.join(texts, "doc_id").join(texts.toDF("kept", "other"), "kept").select("doc_id", "text", "other")
+        gone = materialize(_alike(both, n, similarity).distinct(), "gone")
+        open_ = materialize(later.join(gone, "doc_id", "left_anti"), "open")
+        block = min(2 * block, max_block)
+    out = kept[0]
+    for x in kept[1:]:
+        out = out.union(x)
+    return out
+
+
+def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """docs without copies: in order of doc_id, a document goes if one that stays has a set of n-word shingles of a Jaccard similarity of `similarity` or more.
+
+    Texts of one set go at once, by digest. The others meet in shards by band, which makes candidate components; in
+    each, a document goes only if one that stays is similar by exact count. Rows without a doc_id stay; of several rows of one
+    doc_id the smallest text is judged for all; a text without words equals any other such text.
     """
-    found = materialize(profiles(docs, n), "profiles")
-    first = materialize(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "first")
-    alone = found.join(first, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    shard = alone.select(F.explode("bands").alias("shard"), "size", F.col("doc_id").alias("rep"))
-    tied = components(_stars(shard, by_size(similarity)))
+    several = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    judged = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if several else docs.where("doc_id is not null")
+    found = materialize(profiles(judged, n), "profiles")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("one")).select("one.*")
+    alone = materialize(first, "first")
+    every = shared_bands(alone, similarity)
+    tied = components(candidate_links(every))
     tied = materialize(tied.union(tied.select(F.col("component"), "component").distinct()).toDF("doc_id", "component"), "tied")
     # The texts move once, to learn what became of them; from then on only the candidates do.
     id_, component = fresh(docs, "tm_id", "tm_component")
-    status = first.select("doc_id").distinct().join(tied, "doc_id", "left").toDF(id_, component)
+    status = alone.select("doc_id").join(tied, "doc_id", "left").toDF(id_, component)
     marked = materialize(docs.join(status, docs["doc_id"].cast("long") == F.col(id_)), "marked")
     candidates = marked.where(F.col(component).isNotNull())
-    texts = candidates.select(F.col(component).alias("component"), F.pmod(F.xxhash64(id_), F.lit(SALTS)).alias("salt"), F.col(id_).alias("doc_id"), "text")
-    once = _keep_first(texts, ["component", "salt"], n, similarity)
-    stay = materialize(_keep_first(once, ["component"], n, similarity).select(F.col("doc_id").alias(id_)), "stay")
+    texts = candidates.select(F.col(id_).alias("doc_id"), "text")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if several else texts
+    open_ = materialize(tied.join(alone.select("doc_id", "size"), "doc_id").select("component", "doc_id", "size"), "open")
+    shards = every.join(open_.select("doc_id"), "doc_id", "left_semi")
+    stay = materialize(stays(open_, shards, texts, n, similarity, block).select(F.col("doc_id").alias(id_)), "stays")
     whole = marked.where(F.col(component).isNull()).unionByName(candidates.join(stay, id_, "left_semi"))
     return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
