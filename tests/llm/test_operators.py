@@ -518,6 +518,15 @@ def test_extraction(spark):
         assert got[r.page_id].text == "\n".join(x for x in parts if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_extraction_of_the_fixture_without_article_tags(spark):
+    """What the markup then leaves open, repeats decide: articles stay but for sentences that other pages of the host carry as well (the fixture plants such copies; its menus and footers never repeat)."""
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
+    want = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    got = {r.page_id: r for r in html_text.extract(pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))).collect()}
+    assert sum(got[i].text == want[i] for i in want) >= 0.7 * len(want)
+    assert all(got[i].n_repeated and not collections.Counter(got[i].text.split()) - collections.Counter(want[i].split()) for i in want if got[i].text != want[i])
+
+
 def test_extraction_without_an_article(spark):
     menu = "<div>Home News Sport Weather Travel Culture Food Health Money</div>"
     rows = [(k, f"http://h.example/{k}", f"<html>{menu}<p>{k}th unique &lt;text&gt;, {' '.join(f'w{k}x{j}' for j in range(12))}</p></html>") for k in range(6)]
@@ -536,6 +545,55 @@ def test_extraction_beside_a_small_main_block():
     assert got == [f"Title {k}\n{unique(k, 40)}" for k in range(4)] + [unique(k, 40) for k in range(4, 8)]
 
 
+def brute_repeated(streams, width=8):
+    """Tokens in a run of `width` that at least three distinct streams hold, and a twentieth of them."""
+    runs = collections.defaultdict(set)
+    for s in streams:
+        for k in range(len(s) - width + 1):
+            runs[tuple(s[k : k + width])].add(tuple(s))
+    often = {g for g, where in runs.items() if len(where) >= max(3, 0.05 * len({tuple(s) for s in streams}))}
+    return [[any(0 <= j <= len(s) - width and tuple(s[j : j + width]) in often for j in range(k - width + 1, k + 1)) for k in range(len(s))] for s in streams]
+
+
+def test_repeats_by_brute_force():
+    r = random.Random(11)
+    for n in (1, 5, 30, 90):
+        base = [r.randrange(4) for _ in range(60)]
+        streams = [base[(a := r.randrange(50)) : a + r.randrange(40)] + [r.randrange(4) for _ in range(r.randrange(25))] for _ in range(n)]
+        streams += [list(s) for s in streams[: n // 3]]
+        got = html_text.repeated([np.array(s, dtype=np.int64) for s in streams])
+        assert [g.tolist() for g in got] == brute_repeated(streams)
+
+
+def test_extraction_by_repeats_alone_however_dealt(spark):
+    """Hosts of pages without an article element: menus, notices and footers that repeat go, whatever the shards; what is unique stays."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for h in range(3):
+        menu, foot, notice = [some(2) for _ in range(6)], some(14), some(11)
+        for k in range(40):
+            body = [some(r.randrange(9, 40)) for _ in range(r.randrange(1, 5))]
+            page = "".join(f"<div><a href='/{m}'>{m}</a></div>" for m in menu) + "".join(f"<p>{b}</p>" for b in body[:1]) + (f"<p>{notice}</p>" if k % 4 == 0 else "") + "".join(f"<p>{b}</p>" for b in body[1:]) + f"<div>{foot}</div>"
+            rows.append((100 * h + k, f"https://h{h}.example/{k}", f"<html><body>{page}</body></html>"))
+            want[100 * h + k] = "\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for chars in (1, 3_000, 10**9):
+        got = {x.page_id: x for x in html_text.extract(pages, chars).collect()}
+        assert {i: x.text for i, x in got.items()} == want and all(x.n_named == 0 and x.n_repeated >= 26 for x in got.values())
+
+
+def test_scanning_is_linear():
+    import time
+
+    for piece in ("<a ", "<a '", '<a "', "<div>", "<!--", "<script>", "<p class=", "</div", "< ", "<a '>", "<div class='x'>y", "&amp", "<!x", "<script></scrip>"):
+        for page in (piece * (1_000_000 // len(piece)), piece * (1_000_000 // len(piece)) + ">", ">" + piece * (1_000_000 // len(piece)) + "'"):
+            began = time.process_time()
+            html_text.blocks(page)
+            assert time.process_time() - began < 6, piece
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
