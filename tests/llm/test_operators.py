@@ -238,6 +238,29 @@ def test_field_reads_spelled_out_addresses_without_a_number_near():
     assert sum(len(want & got) for want, got in pairs) >= 0.95 * wanted and sum(len(got - want) for want, got in pairs) <= 0.02 * wanted
 
 
+def test_long_windows(spark):
+    """Texts full of numbers are decoded in sequences of a bounded length, without losing what a short window shows."""
+    import time
+    import tracemalloc
+
+    r = random.Random(6)
+    field = pii.default_field()
+    parts = [f"call ({r.randrange(100, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)} on day {r.randrange(99)}" for _ in range(3000)]
+    text = " ".join(parts)
+    alone = [s for p in parts for s in pii.all_spans([p], field)[0][1]]
+    assert len(pii.windows(text)) == 1 and len(alone) > 2900
+    together = pii.all_spans([text], field)[0][1]
+    assert abs(len(together) - len(alone)) <= 0.01 * len(alone)
+    assert all(a[2] - a[1] == b[2] - b[1] for a, b in zip(together, alone, strict=False)) or len(together) != len(alone)
+    for texts in ([" ".join(str(r.randrange(10**6)) for _ in range(100_000))], ["1 2"] * 2000):
+        tracemalloc.start()
+        began = time.process_time()
+        pii.all_spans(texts, field)
+        assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500_000_000
+        tracemalloc.stop()
+    assert pii.find(spark.createDataFrame([(1, "7 " * 100_000), (2, "9 8")], "doc_id long, text string")).count() == 2
+
+
 # 3
 
 
@@ -432,6 +455,15 @@ def test_segments():
         assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
 
 
+def test_segments_of_long_texts():
+    import time
+
+    for scores in ([(2 * i, 1.0 + (i % 7) / 100) for i in range(200_000)], [(i * i % 10**9 + 10**9 * (i // 31000), 1.0) for i in range(30_000)], [(100 * i, 200_000.0 - i) for i in range(200_000)], [(100 * i, 1.0) for i in range(200_000)]):
+        began = time.process_time()
+        toxicity.maximal_segments(sorted(set(scores)), 0.1)
+        assert time.process_time() - began < 10
+
+
 def test_toxicity_held_out(spark, awkward):
     sf = SF.replace("0.001", "0.1")
     out = queries.op5_toxicity(spark, sf).toPandas().merge(table(spark, sf, "labels").toPandas(), on="doc_id")

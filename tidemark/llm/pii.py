@@ -8,7 +8,7 @@ Base patterns, leftmost and without overlaps within a kind, whatever fails its c
 
 The field labels tokens by their word shape and their neighbours' shapes; it learns from labelled_table(), a small
 table of sentences, and finds forms that the patterns miss (addresses that spell out "at" and "dot", national phone
-numbers). It reads windows around anchors (a digit, "@", or the word "at" or "dot" in any case); what has none of them
+numbers). It reads windows (long ones in overlapping sequences) around anchors (a digit, "@", or the word "at" or "dot" in any case); what has none of them
 is no span. Its spans are checked like the base ones (digits, Luhn, parts) and never replace or overlap them.
 
 Defined results: a null text counts as empty; a text without spans gives counts of zero and the digest of nothing;
@@ -83,6 +83,9 @@ _PUNCTUATION = "@.-+()[]_/:,"
 SHAPES = {s: k for k, s in enumerate(["^", "$", "lower", "Title", "UPPER", "mixed", "d1", "d2", "d3", "d4", "d5", "d7", "d9", "d13", "d20", "mark", *_WORDS, *_PUNCTUATION])}
 #: How far a token looks to both sides.
 REACH = 2
+#: Tokens of a sequence at most, and of those to either side that another sequence repeats, so that no span is cut;
+#: tokens that are decoded at once, and characters of texts whose windows are held at once.
+LONGEST, OVERLAP, BATCH, HELD = 512, 64, 1 << 17, 1 << 21
 
 
 @lru_cache(maxsize=100_000)
@@ -175,13 +178,15 @@ class Field:
                 p += rate * (mv[0] / (1 - 0.9**step)) / (np.sqrt(mv[1] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def decode(self, sequences: list[np.ndarray], batch: int = 2048) -> list[np.ndarray]:
-        """The best labels of each sequence: Viterbi over batches of sequences of like length."""
+    def decode(self, sequences: list[np.ndarray], batch: int = BATCH) -> list[np.ndarray]:
+        """The best labels of each sequence: Viterbi over batches of sequences of like length, of at most `batch` tokens with their padding (one sequence at least)."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sequences)
         order = sorted((k for k in range(len(sequences)) if len(sequences[k])), key=lambda k: len(sequences[k]))
         move, unstarted = self.move + np.where(self.legal, 0.0, -1e9), np.where(self.first, 0.0, -1e9)
-        for start in range(0, len(order), batch):
-            part = order[start : start + batch]
+        while order:
+            # The longest first: what it is padded to decides how many fit.
+            part = order[-max(1, batch // len(sequences[order[-1]])) :]
+            del order[-len(part) :]
             context, lengths = _padded([sequences[k] for k in part])
             e = self._scores(context)
             best, back = e[:, 0] + unstarted, np.zeros(e.shape, dtype=np.int8)
@@ -308,29 +313,59 @@ def passes(kind: str, found: str) -> bool:
     return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]|\bat\b) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]|\bdot\b) ?[\w-]+)+", found, re.IGNORECASE))
 
 
+def _sequences(n: int) -> list[tuple[int, int, int, int]]:
+    """For n tokens of a window: (first, end) of each sequence, and (first, end) of the tokens that a span of its own starts with."""
+    if n <= LONGEST:
+        return [(0, n, 0, n)]
+    step, out = LONGEST - 2 * OVERLAP, []
+    for a in range(0, n - 2 * OVERLAP, step):
+        last = a + step >= n - 2 * OVERLAP
+        out.append((a, min(a + LONGEST, n), a + OVERLAP if a else 0, n if last else a + OVERLAP + step))
+    return out
+
+
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and all spans, both by kind as listed, then start."""
+    """For each text its base spans, and all spans, both by kind as listed, then start. Spans of more than OVERLAP tokens are not added in windows of more than LONGEST."""
     base, where, sequences = [], [], []
     for n, text in enumerate(texts):
         base.append(base_spans(text))
         for a, b in windows(text):
             at, shapes = tokenize(text[a:b])
-            if len(shapes):
-                where.append((n, at + a))
-                sequences.append(shapes)
+            for first, end, own, others in _sequences(len(shapes)) if len(shapes) else ():
+                where.append((n, at[first:end] + a, own - first, others - first))
+                sequences.append(shapes[first:end])
     added: dict[int, list[Span]] = defaultdict(list)
-    for (n, at), labels in zip(where, field.decode(sequences), strict=True):
+    taken: dict[int, bytearray] = {}
+    for (n, at, own, others), labels in zip(where, field.decode(sequences), strict=True):
         starts = np.flatnonzero(labels % 2 == 1)
-        for s in starts.tolist():
+        for s in starts[(starts >= own) & (starts < others)].tolist():
             e = s + 1
             while e < len(labels) and labels[e] == labels[s] + 1:
                 e += 1
             kind, a, b = LABELS[labels[s]][2:], int(at[s, 0]), int(at[e - 1, 1])
-            if all(b <= x or a >= y for _, x, y in base[n] + added[n]) and passes(kind, texts[n][a:b]):
+            if n not in taken:
+                taken[n] = bytearray(len(texts[n]))
+                for _, x, y in base[n]:
+                    taken[n][x:y] = b"\1" * (y - x)
+            if not any(taken[n][a:b]) and passes(kind, texts[n][a:b]):
                 added[n].append((kind, a, b))
+                taken[n][a:b] = b"\1" * (b - a)
     return [(b, sorted(b + added[n], key=lambda x: (KINDS.index(x[0]), x[1]))) for n, b in enumerate(base)]
 
 
+def _held(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, about HELD characters at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= HELD:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -341,7 +376,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = all_spans([t or "" for t in batch.column(1).to_pylist()], field)
+            found = [x for held in _held([t or "" for t in batch.column(1).to_pylist()]) for x in all_spans(held, field)]
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64()) for kind in KINDS]
             digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])

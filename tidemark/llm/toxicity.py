@@ -10,7 +10,7 @@ Altschul 1990); the surprises of a text's segments add up, and a logistic curve
 The fit sees at most about MAX_LABELLED labelled rows. Tokens are runs of letters and digits, lower-cased. Defined
 results: a null text counts as empty; an empty text has no segment and the probability of such texts; without labels
 of both kinds every score is the share of toxic labels (0 without any); an id with several labels counts as toxic if
-one says so; repeated rows are scored each by itself; an empty table gives an empty table.
+one says so; a null doc_id is not held out; repeated rows are scored each by itself; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ _MEMORY = 300_000
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def features(token: str) -> list[str]:
@@ -89,7 +89,8 @@ class Model:
 
 def maximal_segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, end, score); hits: the tokens that gain, in order; each other costs."""
-    stack: list[tuple[int, int, float, float]] = []
+    # First token, end, sums left of and through it, and the nearest entry before whose left sum is smaller.
+    stack: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for i, s in hits:
         total -= cost * (i - last - 1)
@@ -97,13 +98,15 @@ def maximal_segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[i
         total += s
         right = total
         while True:
-            j = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][2] < left), None)
-            if j is None or stack[j][3] >= right:
-                stack.append((start, i + 1, left, right))
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= left:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= right:
+                stack.append((start, i + 1, left, right, j))
                 break
             start, left = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(a, b, right - left) for a, b, left, right in stack]
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
