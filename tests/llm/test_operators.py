@@ -322,6 +322,22 @@ def test_decontamination_of_short_items(spark):
     assert {(x.doc_id, x.item_id) for x in found.collect()} == near
 
 
+def test_decontamination_recall():
+    """Items with tokens substituted at random places, as many as the similarity of 0.8 bears, half as many, and bursts."""
+    r = random.Random(1)
+    for n in (6, 7, 9, 12, 15, 16, 18, 20, 25, 30, 40, 50, 100):
+        items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(n))) for i in range(100)]
+        index, found, total = decontam.Index(items), 0, 0
+        for i, t in items:
+            burst = r.randrange(n - n // 5 + 1)
+            for gone in (r.sample(range(n), n // 5), r.sample(range(n), n // 10), range(burst, burst + n // 5)):
+                words = ["before"] * 12 + ["other" if k in set(gone) else x for k, x in enumerate(t.split())] + ["after"] * 12
+                ids = np.array([index.vocabulary.get(x, 0) for x in words], dtype=np.int32)
+                found += any(x[1] == i for x in index.search(ids, np.array([0, len(ids)]), decontam.SIMILARITY))
+                total += 1
+        assert found >= 0.98 * total, n
+
+
 # 4
 
 
@@ -513,6 +529,25 @@ def test_mixing_reaches_its_margins(spark, docs, awkward):
     assert mixing.mix(awkward.limit(0), margins).count() == 0
 
 
+def test_mixing_meets_given_targets(spark, docs):
+    targets = {"source": {"src0": 3.0, "src1": 1.0, "src2": 4.0}, "lang": {"en": 0.7, "fr": 0.3, "none": 5.0}}
+    margins = {m: F.col(m) for m in targets}
+    sf = SF.replace("0.001", "0.1")
+    docs = table(spark, sf, "documents").where("source in ('src0', 'src1', 'src2', 'src3') and lang in ('en', 'fr', 'de')")
+    for bounded in (False, True):
+        kept = mixing.mix(docs, margins, targets, rounds=200, details=("n", "p"), bounded=bounded).toPandas()
+        assert len(kept) and 0 < kept.p.min() and kept.p.max() <= 1 and set(kept.source) == {"src0", "src1", "src2"} and set(kept.lang) == {"en", "fr"}
+        # Expected shares, from every document's probability; those of the sample itself are near.
+        cells = docs.select("source", "lang", F.size(mixing.words(F.col("text"))).alias("tokens")).groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).toPandas().merge(kept.groupby(["source", "lang"]).p.first().reset_index())
+        for m, want in (("source", {"src0": 0.375, "src1": 0.125, "src2": 0.5}), ("lang", {"en": 0.7, "fr": 0.3})):
+            expected = cells.assign(x=cells.tokens * cells.p).groupby(m).x.sum()
+            assert (expected / expected.sum()).to_dict() == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
+            got = kept.groupby(m).n.sum()
+            assert (got / got.sum()).to_dict() == {k: pytest.approx(v, abs=0.12) for k, v in want.items()}
+    with pytest.raises(ValueError):
+        mixing.rake_arrays([["a"]], np.array([1.0]), [{"b": 1.0}], 5)
+
+
 def test_bounded_mixing_meets_its_margins(spark, awkward):
     r = random.Random(7)
     cells = {(s, lang): float(r.randrange(1, 10) ** 4) for s in "abcd" for lang in "wxyz"}

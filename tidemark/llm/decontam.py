@@ -7,8 +7,8 @@ item is found in a document if at least `similarity` of its tokens are equal to
 tokens were put in or left out, on several: either each token of the item lies on one of them and each change costs GAP
 tokens, or the tokens are those of the diagonals' best stretches (a match +1, a mismatch -2), whatever their order.
 
-The benchmark side is taken in blocks of at most MAX_BLOCK_CHARS characters, one pass over the documents each, so
-that what is broadcast is bounded whatever the benchmark's size.
+The benchmark side is taken in blocks of about MAX_BLOCK_CHARS characters, one after the other and one pass over the
+documents each, so that what is held and broadcast is bounded whatever the benchmark's size (by one item's, if that is longer).
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null texts have no tokens; an item of fewer
 tokens than the shortest mask spans matches only documents that hold it word by word; an item without tokens never
@@ -25,9 +25,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 5, 8, 10))
 #: Also for items of fewer than SHORT tokens, whose seeds of six few substitutions spoil: where four of five tokens are
 #: equal, some three in a row are. Their hits count on one diagonal only. Pairs of equal seeds that are held at once.
@@ -193,13 +196,22 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, max_
     spark = docs.sparkSession
     items = items.select("item_id", "text").where("text is not null")
     n_blocks = -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // max_block_chars)
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
-    found = [_search(docs, Index([tuple(r) for r in part.collect()]), similarity) for part in parts]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+    if n_blocks <= 1:
+        return _search(docs, _broadcast(items), similarity) if n_blocks else spark.createDataFrame([], SCHEMA)
+    found = []
+    for k in range(n_blocks):
+        # One block's index at a time, on the driver and on the executors.
+        held = _broadcast(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k))
+        found.append(materialize(_search(docs, held, similarity), "contaminated"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _broadcast(items: DataFrame) -> Broadcast:
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
 
 
-def _search(docs: DataFrame, index: Index, similarity: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def _search(docs: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_token", pa.int64()), ("n_matched", pa.int64()), ("n_item_tokens", pa.int64()), ("similarity", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,12 @@
 
 Documents fall into cells (source, lang, topic). Token counts of the cells are raked, margin by margin, until each
 margin has its target share of tokens; a cell's factor is its raked share over its actual share, and a document of
-the cell is kept with probability min(1, rate * factor). Target shares are tokens ** power, per margin, so that large
-sources, languages and topics give way to small ones. Where rate * factor is over 1 the clip takes from a cell what its
-margins should have: the sample then misses its targets. With `bounded` the probabilities are raked under the bound of 1
-instead, and at the largest rate, `rate` at most, at which they meet the margins: the sample is smaller, its expected
-shares are the targets. The draw is a hash of doc_id: the same document always draws
-the same number, and repeated rows are kept or dropped together.
+the cell is kept with probability rate * factor, at the largest rate, `rate` at most, that leaves no probability over 1: the
+expected shares of the sample are the targets. Target weights are given per margin, by value (values without one have
+weight 0 and go), or else are tokens ** power, so that large sources, languages and topics give way to small ones. With
+`bounded` the cells are raked under the bound of 1 instead, at the largest rate at which that meets the margins: a larger
+sample of the same expected shares. The draw is a hash of doc_id: the same document always draws the same number, and
+repeated rows are kept or dropped together, as are all rows without a doc_id.
 
 Defined results: nulls in a margin are a value of their own; a null text has no tokens; a cell without tokens has
 factor 1; an empty table gives an empty table; other columns pass through.
@@ -50,7 +50,11 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, max_cells: int = MAX_CELLS, bound: float | None = None) -> DataFrame:
+#: Target weights of a margin: of its values, or the power of their tokens.
+Target = float | dict[str, float]
+
+
+def rake(cells: DataFrame, powers: dict[str, Target], rounds: int = ROUNDS, max_cells: int = MAX_CELLS, bound: float | None = None) -> DataFrame:
     """cells (the margins and `tokens`) with `factor`; margins must not be null. With `bound`, a rate, no bound * factor is over 1."""
     spark, margins = cells.sparkSession, list(powers)
     cells = materialize(cells, "cells")
@@ -67,18 +71,22 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, max_c
     return raked.withColumn("factor", F.col("factor") * F.lit(min(1.0, 1 / (bound * (raked.agg(F.max("factor")).first()[0] or 1.0)))))
 
 
-def _targets(values: list[list], tokens: np.ndarray, powers: list[float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _targets(values: list[list], tokens: np.ndarray, powers: list[Target]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each margin the number of each cell's value, and the target share of each value."""
-    codes = [np.unique(np.array(v, dtype=object).astype(str), return_inverse=True)[1] for v in values]
-    targets = []
-    for code, power in zip(codes, powers, strict=True):
+    codes, targets = [], []
+    for v, power in zip(values, powers, strict=True):
+        names, code = np.unique(np.array(v, dtype=object).astype(str), return_inverse=True)
         sums = np.bincount(code, tokens)
-        wanted = np.where(sums > 0, sums**power, 0.0)
+        given = np.array([float(power.get(x, 0.0)) for x in names.tolist()]) if isinstance(power, dict) else sums**power
+        wanted = np.where(sums > 0, given, 0.0)
+        if not wanted.sum() > 0:
+            raise ValueError("no value of a margin has both tokens and a target weight")
+        codes.append(code)
         targets.append(wanted / wanted.sum())
     return codes, targets
 
 
-def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rounds: int) -> np.ndarray:
+def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[Target], rounds: int) -> np.ndarray:
     """The factor of each cell."""
     total = tokens.sum()
     if not total:
@@ -92,7 +100,7 @@ def rake_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rou
     return np.divide(weight, share, out=np.ones(len(tokens)), where=share > 0)
 
 
-def bounded_arrays(values: list[list], tokens: np.ndarray, powers: list[float], rate: float) -> np.ndarray:
+def bounded_arrays(values: list[list], tokens: np.ndarray, powers: list[Target], rate: float) -> np.ndarray:
     """The probability of each cell, at most 1: the margins of tokens * probability have their target shares."""
     total = tokens.sum()
     if not total:
@@ -136,14 +144,16 @@ def _bounded(codes: list[np.ndarray], targets: list[np.ndarray], tokens: np.ndar
     return None
 
 
-def _rake_frame(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+def _rake_frame(cells: DataFrame, powers: dict[str, Target], rounds: int) -> DataFrame:
     """The same as rake_arrays, for more cells than the driver should hold."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return cells.select(*powers, F.lit(1.0).alias("factor"))
     now, targets = cells.withColumn("weight", F.col("tokens") / float(total)), {}
     for m, power in powers.items():
-        sums = cells.groupBy(m).agg(F.sum("tokens").alias("n")).select(m, F.when(F.col("n") > 0, F.pow("n", F.lit(power))).otherwise(0.0).alias("wanted"))
+        # Weights that are given for more values than a plan can hold belong in a table of their own.
+        given = F.coalesce(F.create_map(*(F.lit(x) for kv in power.items() for x in kv))[F.col(m)].cast("double"), F.lit(0.0)) if isinstance(power, dict) else F.pow("n", F.lit(power))
+        sums = cells.groupBy(m).agg(F.sum("tokens").alias("n")).select(m, F.when(F.col("n") > 0, given).otherwise(0.0).alias("wanted"))
         whole = sums.agg(F.sum("wanted")).first()[0]
         targets[m] = materialize(sums.select(m, (F.col("wanted") / whole).alias("wanted")), "targets")
     for _ in range(rounds):
@@ -154,14 +164,15 @@ def _rake_frame(cells: DataFrame, powers: dict[str, float], rounds: int) -> Data
     return now.select(*powers, F.when(F.col("tokens") > 0, F.col("weight") / (F.col("tokens") / float(total))).otherwise(1.0).alias("factor"))
 
 
-def mix(docs: DataFrame, margins: dict[str, Column], powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, details: tuple[str, str] | None = None, bounded: bool = False) -> DataFrame:
+def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, Target] = POWERS, rate: float = RATE, rounds: int = ROUNDS, details: tuple[str, str] | None = None, bounded: bool = False) -> DataFrame:
     """The documents that the calibrated probabilities keep. `details` names columns for tokens and probability."""
     n, *own = fresh(docs, "tm_tokens", *[f"tm_{m}" for m in margins])
     factor, p = fresh(docs, "tm_factor", "tm_p")
     out = docs.withColumns({n: F.size(words(F.col("text"))).cast("long")} | {c: F.coalesce(v.cast("string"), F.lit(NONE)) for c, v in zip(own, margins.values(), strict=True)})
     cells = out.groupBy(*own).agg(F.sum(n).alias("tokens"))
-    raked = materialize(rake(cells, dict(zip(own, (powers[m] for m in margins), strict=True)), rounds, bound=rate if bounded else None), "raked").withColumnRenamed("factor", factor)
-    out = out.join(raked, own, "left").withColumn(p, F.least(F.lit(1.0), rate * F.coalesce(F.col(factor), F.lit(1.0))))
+    raked = materialize(rake(cells, dict(zip(own, (targets[m] for m in margins), strict=True)), rounds, bound=rate if bounded else None), "raked").withColumnRenamed("factor", factor)
+    most = raked.agg(F.max(factor)).first()[0] or 1.0
+    out = out.join(raked, own, "left").withColumn(p, F.least(F.lit(1.0), min(rate, 1.0 / most) * F.coalesce(F.col(factor), F.lit(1.0))))
     out = out.where(draw(F.col("doc_id")) < F.col(p))
     more = [F.col(n).alias(details[0]), F.round(p, 9).alias(details[1])] if details else []
     return out.select(*docs.columns, *more)

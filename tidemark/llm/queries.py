@@ -85,7 +85,8 @@ def op7_sql(final: str = "SELECT doc_id, source, lang, topic, n_tokens, round(p,
         UNION ALL SELECT k + 1, source, lang, topic, n, w * (CASE k % 3 WHEN 0 THEN ta WHEN 1 THEN tb ELSE tc END)
         / sum(w) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END), ta, tb, tc FROM r WHERE k < {3 * mixing.ROUNDS})""")
     parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / (n / (SELECT sum(n) FROM w0)) ELSE 1 END AS f FROM r WHERE k = {3 * mixing.ROUNDS})")
-    parts.append(f"kept AS (SELECT d.*, least(1.0, {mixing.RATE} * f) AS p FROM docs0 d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / {16**13}::DOUBLE < least(1.0, {mixing.RATE} * f))")
+    parts.append(f"rate AS MATERIALIZED (SELECT least({mixing.RATE}, 1.0::DOUBLE / max(f)) AS rate FROM f)")
+    parts.append(f"kept AS (SELECT d.*, least(1.0, rate * f) AS p FROM docs0 d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic, rate WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / {16**13}::DOUBLE < least(1.0, rate * f))")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
 
