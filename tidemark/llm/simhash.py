@@ -18,6 +18,7 @@ empty table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
 #: unless their sets' sizes alone rule the similarity out.
 COPY_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Documents, and shingles in all, that one task judges at once: first and at most (each round doubles the first).
-BLOCK, MAX_BLOCK, MAX_SHINGLES = 256, 1 << 14, 1 << 22
+BLOCK, MAX_BLOCK, MAX_SHINGLES = 128, 1 << 13, 1 << 22
 _MIX = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -196,7 +197,7 @@ class Kept:
 
     def takes(self, own: np.ndarray) -> bool:
         """Takes the set in unless it is similar to one that is in."""
-        if any(similar(s, own, self.similarity) for s in self.latest) or any(self._indexed(own, *x) for x in self.indexes):
+        if self.holds(own):
             return False
         self.latest.append(own)
         if len(self.latest) == 16:
@@ -209,6 +210,10 @@ class Kept:
             self.latest = []
         return True
 
+    def holds(self, own: np.ndarray) -> bool:
+        """Whether a set that is in is similar to this one."""
+        return any(similar(s, own, self.similarity) for s in self.latest) or any(self._indexed(own, *x) for x in self.indexes)
+
     def _indexed(self, own: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> bool:
         """Shared hashes are counted for all sets of an index at once."""
         lo = np.searchsorted(hashes, own)
@@ -245,21 +250,31 @@ def _keep_first(docs: DataFrame, n: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "component long, doc_id long")
 
 
-def _alike(pairs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The doc_id of each (doc_id, text, other) whose sets are similar; other: a text."""
+def _open(later: DataFrame, news: DataFrame, texts: DataFrame, n: int, similarity: float, chunk: int) -> DataFrame:
+    """What of later (component, doc_id, size) is similar to none of news (component, doc_id), by component.
+
+    A component's later documents are dealt to chunks, ahead of each of which go all of its news: no pair of documents is
+    ever a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one `other` often follow each other.
-        last, sets = None, np.zeros(0, dtype=np.uint64)
+        now, kept = None, Kept(similarity)
         for batch in batches:
             keep = []
-            for _, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is None or other != last:
-                    last, sets = other, np.unique(shingle_hashes(other, n))
-                keep.append(similar(np.unique(shingle_hashes(text, n)), sets, similarity))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id"])
-
-    return pairs.select("doc_id", "text", "other").mapInArrow(run, "doc_id long")
+            for component, chunk, _, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, chunk) != now:
+                    now, kept = (component, chunk), Kept(similarity)
+                own = np.unique(shingle_hashes(text, n))
+                if size is None:
+                    kept.takes(own)
+                keep.append(size is not None and not kept.holds(own))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["component", "doc_id", "size"])
+
+    chunks = later.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    rows = later.join(chunks, "component").join(texts, "doc_id").select("component", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "doc_id", "size", "text")
+    ahead = news.join(chunks, "component").join(texts, "doc_id").select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(None).cast("long").alias("size"), "text")
+    dealt = rows.unionByName(ahead).repartition("component", "chunk").sortWithinPartitions("component", "chunk", F.col("size").asc_nulls_first(), "doc_id")
+    return dealt.mapInArrow(run, "component long, doc_id long, size long")
 
 
 def _blocks(open_: DataFrame, block: int, max_shingles: int) -> tuple[DataFrame, DataFrame]:
@@ -274,12 +289,11 @@ def _blocks(open_: DataFrame, block: int, max_shingles: int) -> tuple[DataFrame,
     return now.where("cut is null or doc_id <= cut").drop("cut"), now.where("doc_id > cut").drop("cut")
 
 
-def stays(open_: DataFrame, shards: DataFrame, texts: DataFrame, n: int, similarity: float, block: int = BLOCK, max_block: int = MAX_BLOCK, max_shingles: int = MAX_SHINGLES) -> DataFrame:
-    """The doc_id of (component, doc_id, size) that stay when, in order of doc_id, each goes that is similar to a smaller one that stays and shares a shard with it.
+def stays(open_: DataFrame, texts: DataFrame, n: int, similarity: float, block: int = BLOCK, max_block: int = MAX_BLOCK, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """The doc_id of (component, doc_id, size) that stay when, in order of doc_id, each goes that is similar to a smaller one of its component that stays. texts: (doc_id, text).
 
-    A task judges whole components, or a bounded block of a larger one's smallest documents; what stays of a block is
-    then compared with the component's later documents as a join by shard, pair by pair, and the next round goes on with
-    what is left of them. texts: (doc_id, text), shards: (shard, level, doc_id).
+    A task judges whole components, or a bounded block of a larger one's smallest documents; the component's later
+    documents are then compared with what stays of the block, and the next round goes on with what is left of them.
     """
     kept = []
     while True:
@@ -288,18 +302,9 @@ def stays(open_: DataFrame, shards: DataFrame, texts: DataFrame, n: int, similar
         kept.append(stay.select("doc_id"))
         if later.isEmpty():
             break
-        news = stay.join(later.select("component").distinct(), "component", "left_semi")
-        one = shards.join(later.select("doc_id"), "doc_id", "left_semi")
-        other = shards.join(news.select("doc_id"), "doc_id", "left_semi").select("shard", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("level"), F.col("doc_id").alias("kept"))
-        pairs = materialize(one.join(other, ["shard", "level"]).select("doc_id", "kept").distinct(), "pairs")
-        both = pairs.join(texts, "doc_id").join(texts.toDF("kept", "other"), "kept").select("doc_id", "text", "other")
-        gone = materialize(_alike(both, n, similarity).distinct(), "gone")
-        open_ = materialize(later.join(gone, "doc_id", "left_anti"), "open")
+        open_ = materialize(_open(later, stay, texts, n, similarity, block), "open")
         block = min(2 * block, max_block)
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.union(x)
-    return out
+    return reduce(DataFrame.union, kept)
 
 
 def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -314,8 +319,7 @@ def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = S
     found = materialize(profiles(judged, n), "profiles")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("one")).select("one.*")
     alone = materialize(first, "first")
-    every = shared_bands(alone, similarity)
-    tied = components(candidate_links(every))
+    tied = components(candidate_links(shared_bands(alone, similarity)))
     tied = materialize(tied.union(tied.select(F.col("component"), "component").distinct()).toDF("doc_id", "component"), "tied")
     # The texts move once, to learn what became of them; from then on only the candidates do.
     id_, component = fresh(docs, "tm_id", "tm_component")
@@ -325,7 +329,6 @@ def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = S
     texts = candidates.select(F.col(id_).alias("doc_id"), "text")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if several else texts
     open_ = materialize(tied.join(alone.select("doc_id", "size"), "doc_id").select("component", "doc_id", "size"), "open")
-    shards = every.join(open_.select("doc_id"), "doc_id", "left_semi")
-    stay = materialize(stays(open_, shards, texts, n, similarity, block).select(F.col("doc_id").alias(id_)), "stays")
+    stay = materialize(stays(open_, texts, n, similarity, block).select(F.col("doc_id").alias(id_)), "stays")
     whole = marked.where(F.col(component).isNull()).unionByName(candidates.join(stay, id_, "left_semi"))
     return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
