@@ -15,7 +15,8 @@ from tidemark.plans.search import SearchEngine
 from tidemark.schema import InvalidRequest, Limits, Overloaded, Unavailable
 from tidemark.sources import synthetic
 from tidemark.sources.blocks import BlockStore
-from tidemark.streaming.ingest import Ingestor, problems, record_bytes
+from tidemark.streaming.budget import ByteBudget
+from tidemark.streaming.ingest import Ingestor, problems, publish_batch, record_bytes
 
 ROW = "tenant_id string, block_id string, ordinal int, ts_ms long, tags map<string,string>, message string"
 BASIC = [("tenant-a", "b1", 0, 1000, {"env": "prod"}, "payment failed for user 42"), ("tenant-a", "b1", 1, 2000, {"env": "staging"}, "payment succeeded"), ("tenant-a", "b1", 2, 3000, {"env": "prod"}, "unrelated log entry")]
@@ -257,3 +258,102 @@ def test_searches_in_threads(spark, tmp_path):
     for t in threads:
         t.join()
     assert [r.returned_count for r in out] == [3, 3, 3]
+
+
+def test_a_block_that_cannot_be_scanned_costs_itself_only(spark, tmp_path, monkeypatch):
+    rows = [("tenant-a", f"b{k}", 0, 1000 + k, {}, f"m{k}") for k in range(5)]
+    store = store_of(spark, tmp_path, rows)
+    engine = SearchEngine(store, group=3)
+    paths = {r["block_id"]: r["path"] for r in store.catalog().collect()}
+    # Gone between the checksum and the scan.
+    store._fs().delete(store._path(paths["b1"]), True)
+    r = engine.search(Query("tenant-a", 0, 10_000, timeout_ms=LONG))
+    assert [h["message"] for h in r.results] == ["m0", "m2", "m3", "m4"] and (r.skipped_blocks, r.scanned_blocks, r.unavailable_blocks) == (1, 4, 0) and r.partial
+    # An error that is no damage: skipped, and not marked.
+    read = store.read
+    monkeypatch.setattr(store, "read", lambda p: read([*p, str(tmp_path / "none")]) if paths["b3"] in p else read(p))
+    for _ in range(2):
+        r = engine.search(Query("tenant-a", 0, 10_000, timeout_ms=LONG))
+        assert [h["message"] for h in r.results] == ["m0", "m2", "m4"] and (r.skipped_blocks, r.unavailable_blocks, r.candidate_blocks) == (1, 1, 4)
+    for _ in range(store.limits.max_active_queries):
+        engine._permits.acquire()
+    refused = engine.search(Query("tenant-a", 0, 10_000))
+    assert refused.partial and not refused.results and refused.unavailable_blocks == 1
+    m = engine.metrics.values()
+    assert m["catalog.unavailable"] == 1 and m["search.queries.active"] == 0 and m["search.scan_permits.free"] == store.limits.scan_permits and m["search.queries.rejected"] == 1
+
+
+def test_hits_up_to_the_deadline(spark, tmp_path, monkeypatch):
+    import time
+
+    store = store_of(spark, tmp_path, [("t", f"b{k}", 0, 1000 + k, {}, f"m{k}") for k in range(4)], Limits(scan_permits=1))
+    engine = SearchEngine(store, group=1)
+    scan, began = engine._scan, time.monotonic()
+
+    def slow(query, paths):
+        out = scan(query, paths)
+        if "block_id=b2" in paths[0]:
+            time.sleep(max(0.0, 13 - (time.monotonic() - began)))
+        return out
+
+    monkeypatch.setattr(engine, "_scan", slow)
+    r = engine.search(Query("t", 0, 10_000, timeout_ms=12_000))
+    assert r.timed_out and r.partial and [h["message"] for h in r.results][:2] == ["m0", "m1"] and r.scanned_blocks < 4
+
+
+def test_verified_files_are_remembered_up_to_a_number(spark, tmp_path):
+    store = store_of(spark, tmp_path, [("t", f"b{k}", 0, k, {}, "m") for k in range(4)], Limits(verified_blocks=2))
+    assert len(store._verified) == 2 and len(store.unverified(store.catalog().collect())) == 2
+    assert find(store, "t", 0, 10).returned_count == 4 and len(store._verified) == 2
+
+
+def test_budgets_add_up_and_are_given_back(spark, tmp_path):
+    b = ByteBudget(100, 60)
+    assert b.reserve(50, "a") and not b.reserve(20, "a") and b.reserve(50, "b") and not b.reserve(1, "c")
+    assert (b.in_use, b.of_tenant("a"), b.of_tenant("c")) == (100, 50, 0)
+    b.release(50, "a")
+    assert b.reserve(40, "c") and b.in_use == 90
+    with pytest.raises(ValueError):
+        b.release(41, "c")
+    ing = Ingestor(store_of(spark, tmp_path, [], Limits(queue_bytes=1000, tenant_queue_bytes=400)))
+    ing.ingest("t", batch(3, 100), drain=False)
+    with pytest.raises(Overloaded, match="354 of 400"):
+        ing.ingest("t", batch(1, 100), drain=False)
+    ing.ingest("u", batch(3, 100), drain=False)
+    with pytest.raises(Overloaded):
+        ing.ingest("v", batch(3, 100), drain=False)
+    status = ing.status().first()
+    assert status.buffer_usage_pct == pytest.approx(70.8) and ing.metrics.values()["queue.bytes"] == 708
+    ing.drain()
+    assert ing.queued.in_use == 0 and ing.buffered_bytes == 708 and ing.ingest("t", batch(3, 100))["accepted_records"] == 3
+    ing.close()
+    assert ing.held.in_use == 0 and ing.persisted_records == 9 and ing.metrics.values()["ingest.rejected"] == 2
+    ing.closed, ing.healthy = False, False
+    with pytest.raises(Unavailable):
+        ing.ingest("t", batch(1))
+    assert ing.metrics.values()["ingest.rejected"] == 3
+
+
+def test_writers_in_threads_lose_nothing(spark, tmp_path):
+    store = store_of(spark, tmp_path, [], Limits(flush_bytes=20_000))
+    ing = Ingestor(store)
+    work = lambda w: [ing.ingest(f"t{w % 2}", batch(25)) for _ in range(10)]
+    threads = [threading.Thread(target=work, args=(w,)) for w in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    ing.close()
+    assert ing.accepted_records == ing.persisted_records == 1500 and ing.lost_records == 0 and ing.queued.in_use == ing.held.in_use == 0
+    assert store.catalog().agg(F.sum("record_count")).first()[0] == 1500
+
+
+def test_a_retried_batch_leaves_nothing_behind(spark, tmp_path):
+    store = BlockStore(spark, str(tmp_path / "store"), Limits(flush_bytes=300))
+    frame = lambda n: spark.createDataFrame([("t", f"2024-01-01T00:00:{i:02d}Z", {}, "m" * 100) for i in range(n)], "tenant_id string, timestamp string, tags map<string,string>, message string")
+    assert publish_batch(store, frame(10), 3)["blocks"] == 5
+    assert publish_batch(store, frame(4), 3)["blocks"] == 2
+    assert store.catalog().count() == 2 and store.discover() == {"blocks": 2, "unavailable": 0}
+    publish_batch(store, frame(2), 4)
+    store.compact()
+    assert store.catalog().count() == 3 and len([n for n in store._listed(f"{store.root}/catalog") if n.startswith("publish=")]) == 1

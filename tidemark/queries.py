@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import functions as X
 from tidemark.operators import records, reports, summaries
 from tidemark.operators.cutting import cut
-from tidemark.plans.request import Query
+from tidemark.plans.request import Query, batch_errors, search_query
 from tidemark.plans.search import SearchEngine
-from tidemark.schema import Limits
+from tidemark.schema import InvalidRequest, Limits
+from tidemark.shared import shared_path
 from tidemark.sources import synthetic, views
 from tidemark.sources.blocks import BlockStore
+from tidemark.streaming.budget import ByteBudget
 from tidemark.streaming.ingest import batch_verdicts, problems, publish_batch, stream_ingest
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -207,8 +207,7 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/store-{uuid.uuid4().hex}"
+    return shared_path(spark, "store")
 
 
 def _stored(spark: SparkSession, sf_dir: str, n: int = 256) -> BlockStore:
@@ -270,6 +269,80 @@ def stream_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.agg(*[F.sum(c).alias(c) for c in ("received", "rejected", "accepted", "persisted", "lost")])
 
 
+def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in batches of a tenant's records of 50 ids: one bad record refuses its whole batch."""
+    logs = _logs(spark, sf_dir, None)
+    batch = logs.select("tenant_id", X.iso(F.col("ts_ms")).alias("timestamp"), "tags", F.when(F.col("event_id") % 997 == 0, " ").otherwise(F.col("message")).alias("message"), F.floor(F.col("event_id") / 50).alias("batch"))
+    row = publish_batch(BlockStore(spark, _root(spark), Limits(flush_bytes=100_000)), batch, 0, keys=["batch"])
+    return spark.createDataFrame([(row["received"], row["rejected"], row["accepted"], row["persisted"], row["lost"])], "received long, rejected long, accepted long, persisted long, lost long")
+
+
+BATCH_SQL = """WITH e AS (SELECT 'tenant-' || (user_id % 4) AS tenant_id, event_id // 50 AS batch, event_id % 997 = 0 AS bad FROM events),
+b AS (SELECT tenant_id, batch, count(*) AS n, bool_or(bad) AS refused FROM e GROUP BY ALL)
+SELECT sum(n)::BIGINT AS received, coalesce(sum(n) FILTER (WHERE refused), 0)::BIGINT AS rejected, coalesce(sum(n) FILTER (WHERE NOT refused), 0)::BIGINT AS accepted,
+coalesce(sum(n) FILTER (WHERE NOT refused), 0)::BIGINT AS persisted, 0::BIGINT AS lost FROM b"""
+
+_OK = {"tenant_id": "t", "from": "2024-01-01T00:00:00Z", "to": "2024-01-02T00:00:00Z"}
+_RECORD = {"timestamp": "2024-01-01T00:00:00Z", "message": "m"}
+#: Requests by name; what each gives is in CASES_SQL.
+SEARCHES = {
+    "plain": _OK, "tenant blank": _OK | {"tenant_id": " "}, "from blank": _OK | {"from": ""}, "to missing": {k: v for k, v in _OK.items() if k != "to"}, "from is to": _OK | {"to": _OK["from"]}, "bad time": _OK | {"to": "not-a-time"},
+    "limit 0": _OK | {"limit": 0}, "limit 1000": _OK | {"limit": 1000}, "limit 1001": _OK | {"limit": 1001}, "timeout 30001": _OK | {"timeout_ms": 30_001}, "all wrong": {"limit": -1, "timeout_ms": 0}, "null tag": _OK | {"tags": {"a": None}},
+}
+BATCHES = {
+    "good": ("t", [_RECORD]), "tenant null": (None, [_RECORD]), "tenant 257": ("x" * 257, [_RECORD]), "tenant 256": ("x" * 256, [_RECORD]), "none": ("t", []), "1001": ("t", [_RECORD] * 1001), "1000": ("t", [_RECORD] * 1000),
+    "message blank": ("t", [_RECORD, _RECORD | {"message": " "}]), "17 tags": ("t", [_RECORD | {"tags": {str(k): "" for k in range(17)}}]), "long tag": ("t", [_RECORD | {"tags": {"k" * 257: "v" * 257}}]), "5000001 bytes": ("t", [_RECORD | {"message": "m" * 5_000_001}]),
+}
+
+
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to searches and batches that are wrong, and the limit and timeout of those that are not."""
+
+    def searched(request: dict) -> str:
+        try:
+            q = search_query(request)
+            return f"limit {q.limit}, timeout {q.timeout_ms}"
+        except InvalidRequest as e:
+            return "; ".join(e.errors)
+
+    rows = [("search", name, searched(r)) for name, r in SEARCHES.items()] + [("batch", name, "; ".join(batch_errors(*b))) for name, b in BATCHES.items()]
+    return spark.createDataFrame(rows, "kind string, name string, answer string")
+
+
+CASES_SQL = """SELECT * FROM (VALUES
+('search', 'plain', 'limit 100, timeout 5000'), ('search', 'tenant blank', 'tenant_id is required'), ('search', 'from blank', 'from is required'), ('search', 'to missing', 'to is required'),
+('search', 'from is to', 'from must be before to'), ('search', 'bad time', 'Invalid timestamp format'), ('search', 'limit 0', 'limit must be between 1 and 1000'), ('search', 'limit 1000', 'limit 1000, timeout 5000'),
+('search', 'limit 1001', 'limit must be between 1 and 1000'), ('search', 'timeout 30001', 'timeout_ms must be between 1 and 30000'),
+('search', 'all wrong', 'tenant_id is required; from is required; to is required; limit must be between 1 and 1000; timeout_ms must be between 1 and 30000'), ('search', 'null tag', 'tag values must not be null'),
+('batch', 'good', ''), ('batch', 'tenant null', 'tenant_id is required'), ('batch', 'tenant 257', 'tenant_id exceeds maximum length'), ('batch', 'tenant 256', ''), ('batch', 'none', 'records must not be empty'),
+('batch', '1001', 'Too many records: max 1000'), ('batch', '1000', ''), ('batch', 'message blank', 'records[1].message is required'), ('batch', '17 tags', 'records[0] exceeds max tags: 16'),
+('batch', 'long tag', 'records[0] tag key exceeds max length: 256; records[0] tag value exceeds max length: 256'), ('batch', '5000001 bytes', 'Batch exceeds maximum size: 5000000 bytes')) AS t(kind, name, answer)"""
+
+
+def budget_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's budget under each event type's first records as batches of its own tenant: what is reserved, refused and held after a release."""
+    sizes = _logs(spark, sf_dir, None).select(F.col("tags")["type"].alias("type"), X.encoded_size(F.col("message"), F.col("tags")).alias("size"), F.row_number().over(Window.partitionBy(F.col("tags")["type"]).orderBy("event_id")).alias("n")).where("n <= 20").orderBy("n", "type").collect()
+    budget, rows = ByteBudget(4_000, 1_000), []
+    for r in sizes:
+        taken = budget.reserve(r["size"], r["type"])
+        rows.append((r["type"], r["n"], taken, budget.of_tenant(r["type"]), budget.in_use))
+        if taken and r["n"] % 4 == 0:
+            budget.release(r["size"], r["type"])
+    return spark.createDataFrame(rows, "type string, n int, taken boolean, of_tenant long, in_use long")
+
+
+BUDGET_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, event_type AS type, json_extract_string(props, '$.k') AS k, event_type || ' ' || props AS message FROM events),
+s AS (SELECT type, {SIZE} AS size, row_number() OVER (PARTITION BY type ORDER BY event_id) AS n FROM e),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n, type) AS k FROM s WHERE n <= 20),
+names AS (SELECT list(DISTINCT type ORDER BY type) AS names FROM o),
+w AS (SELECT 0 AS k, ''::VARCHAR AS type, 0::BIGINT AS n, false AS taken, 0::BIGINT AS of_tenant, 0::BIGINT AS in_use, list_transform(names, lambda x: 0::BIGINT) AS held FROM names
+UNION ALL SELECT k, type, n, taken, mine + CASE WHEN taken THEN size ELSE 0 END, total + CASE WHEN taken THEN size ELSE 0 END,
+  list_transform(held, lambda x, i: x + CASE WHEN i = here AND taken AND n % 4 <> 0 THEN size ELSE 0 END)
+  FROM (SELECT o.k, o.type, o.n, o.size, held, list_position(names, o.type) AS here, held[list_position(names, o.type)] AS mine, list_sum(held)::BIGINT AS total,
+    held[list_position(names, o.type)] + o.size <= 1000 AND list_sum(held) + o.size <= 4000 AS taken FROM w JOIN o ON o.k = w.k + 1, names))
+SELECT type, n::INTEGER AS n, taken, of_tenant, in_use FROM w WHERE k > 0"""
+
+
 def synthetic_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated records by level and service."""
     return synthetic.logs(spark, "demo-shop", 50_000).groupBy(F.col("tags")["level"].alias("level"), F.col("tags")["service"].alias("service")).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("message").contains("%").cast("int")).alias("unexpanded"))
@@ -283,11 +356,11 @@ def queries() -> dict[str, Run]:
         "time_edge_exclusive_to": _scan(lambda d: records.in_range(d, None, EDGE)),
         "tag_and_one": _scan(lambda d: records.with_tags(d, {"type": "error"})),
         "tag_and_two": _scan(lambda d: records.with_tags(d, {"type": "click", "k": "6"})),
-        "tag_absent_key": _scan(lambda d: records.with_tags(d, {"absent": "x"})),
+        "tag_absent_key": lambda spark, sf_dir: _logs(spark, sf_dir, None).select("event_id", *(X.tags_match(F.col("tags"), t).alias(n) for n, t in (("absent", {"absent": "x"}), ("one_absent", {"type": "error", "absent": "x"}), ("present", {"type": "error"})))),
         "tag_no_match": _scan(lambda d: d.where(~X.tags_match(F.col("tags"), {"type": "error", "absent": "x"}))),
         "text_contains": _scan(lambda d: records.with_text(d, TEXT)),
         "text_special_chars": lambda spark, sf_dir: records.with_text(views.documents(spark, sf_dir), "%%% ").select("ordinal", "ts_ms"),
-        "text_case": _scan(lambda d: records.with_text(d, "Error")),
+        "text_case": lambda spark, sf_dir: _logs(spark, sf_dir, None).select("event_id", X.contains(F.col("message"), "error").alias("lower"), X.contains(F.col("message"), "Error").alias("title")),
         "text_empty": _scan(lambda d: records.with_text(d, "")),
         "search_tag_text": search_tag_text,
         "search_full": _search(1000, None, None),
@@ -324,6 +397,10 @@ def queries() -> dict[str, Run]:
         "ingest_ledger": ingest_ledger,
         "stream_ingest": stream_ingest_query,
         "synthetic_logs": synthetic_logs,
+        "synthetic_totals": lambda spark, sf_dir: synthetic_logs(spark, sf_dir).agg(F.sum("records").alias("records"), F.sum("unexpanded").alias("unexpanded")),
+        "batch_ledger": batch_ledger,
+        "request_checks": request_checks,
+        "budget_checks": budget_checks,
     }
 
 
@@ -331,6 +408,13 @@ def queries() -> dict[str, Run]:
 EDGE = JAN1 + 10 * DAY
 
 
+COMPLETE_SQL = LOGS.format(n=256) + f"""SELECT least(hits, 100)::INTEGER AS returned_count, false AS partial, hits > 100 AS truncated, false AS timed_out, 0::INTEGER AS skipped_blocks, 0::INTEGER AS unavailable_blocks,
+  blocks::INTEGER AS candidate_blocks, blocks::INTEGER AS scanned_blocks
+FROM (SELECT count(*) AS hits FROM logs WHERE tenant_id = '{TENANT}' AND ts_ms >= {FROM} AND ts_ms < {TO} AND type = 'error'),
+(SELECT count(*) AS blocks FROM (SELECT block_id FROM logs WHERE tenant_id = '{TENANT}' GROUP BY block_id
+  HAVING max(ts_ms) >= {FROM} AND min(ts_ms) < {TO} AND (bool_or(type = 'error') OR count(DISTINCT type) + count(DISTINCT k) > 64)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     plain = "SELECT {c} FROM judged WHERE {w}"
     blocks = "block_id, tenant_id, min_ts, max_ts, record_count"
@@ -347,11 +431,11 @@ def oracle_sql() -> dict[str, str]:
         "time_edge_exclusive_to": _scan_sql(f"ts_ms < {EDGE}"),
         "tag_and_one": _scan_sql("type = 'error'"),
         "tag_and_two": _scan_sql("type = 'click' AND k = '6'"),
-        "tag_absent_key": _scan_sql("false"),
+        "tag_absent_key": "SELECT event_id, false AS absent, false AS one_absent, event_type = 'error' AS present FROM events",
         "tag_no_match": _scan_sql("true"),
         "text_contains": _scan_sql("contains(message, '\"k\": 6')"),
         "text_special_chars": "SELECT doc_id AS ordinal, 1700000000000 + doc_id * 1000 AS ts_ms FROM documents WHERE contains(text, '%%% ')",
-        "text_case": _scan_sql("contains(message, 'Error')"),
+        "text_case": "SELECT event_id, contains(event_type || ' ' || props, 'error') AS lower, contains(event_type || ' ' || props, 'Error') AS title FROM events",
         "text_empty": _scan_sql("true"),
         "search_tag_text": _search_sql(Limits.default_limit),
         "search_full": _search_sql(1000, tenant),
@@ -381,4 +465,10 @@ def oracle_sql() -> dict[str, str]:
         "store_search": LOGS.format(n=256) + f"SELECT {ISO.format(t='ts_ms')} AS timestamp, type, k, message FROM logs WHERE {_ALL} ORDER BY ts_ms, block_id, ordinal LIMIT 100",
         "ingest_ledger": INGEST_SQL,
         "stream_ingest": INGEST_SQL,
+        "store_completeness": COMPLETE_SQL,
+        "corrupt_block_completeness": "SELECT n::INTEGER AS search, true AS partial, (2 - n)::INTEGER AS skipped_blocks, (n - 1)::INTEGER AS unavailable_blocks, (2 - n)::INTEGER AS not_scanned FROM (VALUES (1), (2)) AS t(n)",
+        "synthetic_totals": "SELECT 50000::BIGINT AS records, 0::BIGINT AS unexpanded",
+        "batch_ledger": BATCH_SQL,
+        "request_checks": CASES_SQL,
+        "budget_checks": BUDGET_SQL,
     }

@@ -34,6 +34,8 @@ CATALOG = T.StructType([
     T.StructField("tags_saturated", T.BooleanType()),
     T.StructField("file_bytes", T.LongType()),
     T.StructField("file_crc", T.LongType()),
+    #: When the row was made, in nanoseconds: of several rows of a block the latest counts.
+    T.StructField("published", T.LongType()),
 ])
 
 
@@ -61,6 +63,9 @@ class Limits:
     tenant_queue_bytes: int = 16 << 20
     """0: as much as queue_bytes."""
     max_tag_pairs: int = 64
+    scan_permits: int = 4
+    #: Blocks whose whole-file checksum is remembered as compared.
+    verified_blocks: int = 100_000
 
 
 class InvalidRequest(ValueError):

@@ -7,9 +7,10 @@ counted as persisted or lost in the end.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
-from collections import defaultdict
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tidemark.operators.cutting import cut
 from tidemark.plans.request import batch_errors, instant_ms
 from tidemark.schema import INPUT, InvalidRequest, Limits, Overloaded, Unavailable
 from tidemark.sources.blocks import BlockStore
+from tidemark.streaming.budget import ByteBudget
 from tidemark.streaming.metrics import Metrics
 
 
@@ -36,20 +38,27 @@ class _Buffer:
 
 
 class Ingestor:
-    """`clock` gives seconds. Not for several threads at once: a front end serialises its calls."""
+    """`clock` gives seconds. Batches may come from several threads: each reserves its bytes of the queue's budget (its
+    tenant's share and the whole) and queues; one thread at a time moves what is queued to the tenants' buffers, whose
+    budget takes the bytes over, and publishes blocks."""
 
     def __init__(self, store: BlockStore, clock=time.monotonic, metrics: Metrics | None = None):
         self.store, self.limits, self.clock, self.metrics = store, store.limits, clock, metrics or Metrics()
+        self.queued = ByteBudget(self.limits.queue_bytes, self.limits.tenant_queue_bytes)
+        self.held = ByteBudget(self.limits.buffer_bytes)
+        self.queue: deque[tuple[str, list[tuple], list[int]]] = deque()
         self.buffers: dict[str, _Buffer] = defaultdict(_Buffer)
         self.healthy, self.closed = True, False
         self.accepted_records = self.accepted_bytes = self.persisted_records = self.persisted_bytes = self.lost_records = 0
+        # The first is held by the one thread that moves and publishes, the second only to count.
+        self._moving, self._counting = threading.RLock(), threading.Lock()
 
     @property
     def buffered_bytes(self) -> int:
-        return sum(b.size for b in self.buffers.values())
+        return self.held.in_use
 
-    def ingest(self, tenant_id: str | None, records: list[dict] | None) -> dict:
-        """Takes a whole batch, or raises InvalidRequest, Overloaded or Unavailable and takes none of it."""
+    def ingest(self, tenant_id: str | None, records: list[dict] | None, drain: bool = True) -> dict:
+        """Takes a whole batch, or raises InvalidRequest, Overloaded or Unavailable and takes none of it. Without `drain` it stays queued until drain()."""
         if errors := batch_errors(tenant_id, records, self.limits):
             raise InvalidRequest(errors)
         rows = []
@@ -59,41 +68,62 @@ class Ingestor:
             except ValueError:
                 raise InvalidRequest([f"Invalid timestamp: {r['timestamp']}"]) from None
         sizes = self._admit(tenant_id, rows)
-        self.accepted_records += len(rows)
-        self.accepted_bytes += sum(sizes)
+        with self._counting:
+            self.accepted_records += len(rows)
+            self.accepted_bytes += sum(sizes)
         self.metrics.add("ingest.accepted.records", len(rows))
         self.metrics.add("ingest.accepted.bytes", sum(sizes))
-        for row, size in zip(rows, sizes, strict=True):
-            self._add(tenant_id, row, size)
-        self.metrics.gauge("buffer.bytes", self.buffered_bytes)
+        self.queue.append((tenant_id, rows, sizes))
+        self.metrics.gauge("queue.bytes", self.queued.in_use)
+        if drain:
+            self.drain()
         return {"accepted_records": len(rows), "durability": "buffered"}
 
     def _admit(self, tenant_id: str, rows: list[tuple]) -> list[int]:
-        """In this order: shutting down, unhealthy, catalog full, a record too large, budgets."""
-        if self.closed or not self.healthy:
-            raise Unavailable("shutting down" if self.closed else "persistence is unhealthy")
+        """In this order: shutting down, unhealthy, catalog full, a record too large, the tenant's share and the queue's budget, which are reserved."""
+        if self.closed:
+            raise Unavailable("shutting down")
+        if not self.healthy:
+            self.metrics.add("ingest.rejected")
+            raise Unavailable("persistence is unhealthy")
         if self.store.is_full():
             self.metrics.add("ingest.rejected")
             raise Overloaded("the catalog is full")
         sizes = [record_bytes(m, t) for _, t, m in rows]
         if max(sizes) > self.limits.max_record_bytes:
             raise InvalidRequest([f"Record exceeds maximum size: {self.limits.max_record_bytes} bytes"])
-        of_tenant = min(self.limits.tenant_queue_bytes or self.limits.queue_bytes, self.limits.queue_bytes)
-        if sum(sizes) > of_tenant or sum(sizes) > self.limits.queue_bytes:
+        if not self.queued.reserve(sum(sizes), tenant_id):
             self.metrics.add("ingest.rejected")
-            raise Overloaded("the queue budget is used up")
+            raise Overloaded(f"the queue budget is used up: {self.queued.of_tenant(tenant_id)} of {self.queued.per_tenant} bytes by the tenant, {self.queued.in_use} of {self.queued.capacity} in all")
         return sizes
 
+    def drain(self) -> None:
+        """Moves what is queued to the buffers, unless another thread is at it (which then moves this too)."""
+        while self.queue and self._moving.acquire(blocking=False):
+            try:
+                while self.queue:
+                    tenant_id, rows, sizes = self.queue.popleft()
+                    try:
+                        for row, size in zip(rows, sizes, strict=True):
+                            self._add(tenant_id, row, size)
+                    finally:
+                        self.queued.release(sum(sizes), tenant_id)
+                        self.metrics.gauge("queue.bytes", self.queued.in_use)
+                        self.metrics.gauge("buffer.bytes", self.held.in_use)
+            finally:
+                self._moving.release()
+
     def _add(self, tenant_id: str, row: tuple, size: int) -> None:
         b = self.buffers[tenant_id]
         if b.rows and b.size + size > self.limits.flush_bytes:
             self._flush(tenant_id, "size")
-        if self.buffered_bytes + size > self.limits.buffer_bytes:
+        if not self.held.reserve(size):
             self._flush(tenant_id, "size")
-            if self.buffered_bytes + size > self.limits.buffer_bytes:
+            if not self.held.reserve(size):
                 # No room even so: the record is lost, and that is said.
                 self.lost_records += 1
                 self.healthy = False
+                self.metrics.add("flush.failures")
                 return
         b = self.buffers[tenant_id]
         b.since = b.since if b.rows else self.clock()
@@ -102,15 +132,19 @@ class Ingestor:
 
     def tick(self) -> None:
         """Publishes what has been buffered for too long; to be called every second or so."""
-        for tenant_id, b in list(self.buffers.items()):
-            if b.rows and self.clock() - b.since >= self.limits.flush_age_s:
-                self._flush(tenant_id, "age")
+        self.drain()
+        with self._moving:
+            for tenant_id, b in list(self.buffers.items()):
+                if b.rows and self.clock() - b.since >= self.limits.flush_age_s:
+                    self._flush(tenant_id, "age")
 
     def close(self) -> None:
-        """Publishes every buffer; nothing is taken afterwards."""
-        for tenant_id in list(self.buffers):
-            self._flush(tenant_id, "size")
+        """Publishes what is queued and every buffer; nothing is taken afterwards."""
         self.closed = True
+        with self._moving:
+            self.drain()
+            for tenant_id in list(self.buffers):
+                self._flush(tenant_id, "size")
 
     def _flush(self, tenant_id: str, reason: str) -> None:
         b = self.buffers.pop(tenant_id, None)
@@ -125,18 +159,22 @@ class Ingestor:
             self.lost_records += len(rows)
             self.metrics.add("flush.failures")
             return
+        finally:
+            self.held.release(b.size)
+            self.metrics.gauge("buffer.bytes", self.held.in_use)
         self.persisted_records += len(rows)
         self.persisted_bytes += b.size
         for name, n in (("persist.records", len(rows)), ("persist.bytes", b.size), (f"flush.by.{reason}", 1), ("blocks.published", 1)):
             self.metrics.add(name, n)
+        self.metrics.gauge("catalog.unavailable", self.store.n_unavailable())
         self.metrics.time("flush.duration", (self.clock() - began) * 1000)
 
     def status(self, active_queries: int = 0) -> DataFrame:
         """One row of the engine's state."""
-        pressure = max(100.0 * self.buffered_bytes / self.limits.buffer_bytes, 0.0)
-        blocks, bad = self.store.catalog().count(), self.store.unavailable().count()
-        row = ("healthy" if self.healthy else "degraded", self.accepted_records, self.persisted_records, self.lost_records, self.accepted_bytes, self.persisted_bytes, blocks, bad, active_queries, pressure, self.healthy)
-        return self.store.spark.createDataFrame([row], "status string, accepted_records long, persisted_records long, lost_records long, accepted_bytes long, persisted_bytes long, published_blocks int, unavailable_blocks int, active_queries int, buffer_usage_pct double, persistence_healthy boolean")
+        row = ("healthy" if self.healthy else "degraded", self.accepted_records, self.persisted_records, self.lost_records, self.accepted_bytes, self.persisted_bytes, self.store.n_blocks(), self.store.n_unavailable(), active_queries, self.held.in_use, self.queued.in_use, self.healthy)
+        frame = self.store.spark.createDataFrame([row], "status string, accepted_records long, persisted_records long, lost_records long, accepted_bytes long, persisted_bytes long, published_blocks int, unavailable_blocks int, active_queries int, held long, queued long, persistence_healthy boolean")
+        pressure = F.greatest(X.usage_percent(F.col("held"), F.lit(self.held.capacity)), X.usage_percent(F.col("queued"), F.lit(self.queued.capacity)))
+        return frame.withColumn("buffer_usage_pct", pressure).drop("held", "queued")
 
 
 # Batches as DataFrames.
@@ -170,17 +208,28 @@ def batch_verdicts(batch: DataFrame, keys: list[str], limits: Limits = Limits())
     return batch.groupBy("tenant_id", *keys).agg(n.alias("records"), total.alias("bytes"), bad.alias("bad_records"), ((n <= limits.max_batch_records) & (total <= limits.max_batch_bytes) & (bad == 0)).alias("accepted"))
 
 
-def publish_batch(store: BlockStore, batch: DataFrame, batch_id: int, ledger: str | None = None) -> dict:
+def publish_batch(store: BlockStore, batch: DataFrame, batch_id: int, ledger: str | None = None, keys: list[str] | None = None) -> dict:
     """Validates, cuts and publishes a micro-batch of INPUT; records that are not valid are counted, not stored.
 
-    Block ids follow from batch_id: the same micro-batch again replaces its blocks.
+    With `keys`, columns that tell a tenant's batches apart, a batch is taken whole or not at all, as batch_verdicts()
+    has it. Block ids follow from batch_id: the same micro-batch again replaces its blocks, whatever it was cut to.
     """
-    judged = batch.withColumn("bad", F.size(problems(store.limits)) > 0).persist()
+    if keys:
+        verdicts = batch_verdicts(batch, keys, store.limits).select(F.col("tenant_id").alias("tm_tenant"), *(F.col(k).alias(f"tm_{k}") for k in keys), "accepted")
+        on = F.col("tenant_id").eqNullSafe(F.col("tm_tenant"))
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"tm_{k}"))
+        batch = batch.join(verdicts, on).withColumn("tm_refused", ~F.col("accepted"))
+    else:
+        batch = batch.withColumn("tm_refused", F.lit(False))
+    prefix = f"{batch_id:08d}-"
+    store.drop(prefix)
+    judged = batch.withColumn("bad", F.col("tm_refused") | (F.size(problems(store.limits)) > 0)).persist()
     try:
         counts = judged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
         good = judged.where(~F.col("bad")).select("tenant_id", X.instant_ms(F.col("timestamp")).alias("ts_ms"), F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), "message", F.monotonically_increasing_id().alias("seq"))
-        blocks = cut(good, store.limits.flush_bytes).withColumn("block_id", F.concat(F.lit(f"{batch_id:08d}-"), F.substring(F.md5("tenant_id"), 1, 12), F.lit("-"), F.lpad(F.col("block_no").cast("string"), 6, "0")))
-        made = store.write(blocks.select("tenant_id", "block_id", "ordinal", "ts_ms", "tags", "message"))
+        blocks = cut(good, store.limits.flush_bytes).withColumn("block_id", F.concat(F.lit(prefix), F.substring(F.md5("tenant_id"), 1, 12), F.lit("-"), F.lpad(F.col("block_no").cast("string"), 6, "0")))
+        made = store.write(blocks.select("tenant_id", "block_id", "ordinal", "ts_ms", "tags", "message"), f"batch-{batch_id:08d}")
         stored = made.agg(F.coalesce(F.sum("record_count"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()
     finally:
         judged.unpersist()
