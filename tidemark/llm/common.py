@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import shared_path  # noqa: F401
+from tidemark.shared import written as materialize  # noqa: F401
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what stands between words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANKS_PATTERN = r"[\x20\x09-\x0D]+"
@@ -19,41 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-_roots: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, under a folder of the application's own that goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        _roots[app] = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
-    return f"{_roots[app]}/{uuid.uuid4().hex[:8]}-{tag}"
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and the planner knows its true size."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no column of, whatever the case."""
     taken = {c.lower() for c in df.columns}
