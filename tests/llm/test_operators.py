@@ -702,6 +702,16 @@ def test_quality(spark, docs, texts, awkward):
     assert not quality_rules.learn(awkward, labels.limit(0)).rules
 
 
+def test_quality_held_out(spark):
+    """Learned from the labels that are not held out, by the rule of the toxicity labels; judged on those that are."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    judged = quality_rules.judge(docs, quality_rules.learn(docs, labels.where(~held))).join(labels.where(held), "doc_id").toPandas()
+    good = judged[(judged.quality == 1) & ~judged.base_failed]
+    assert len(good) > 500 and good.kept.mean() > 0.99 and judged[judged.quality == 0].kept.mean() < 0.1
+
+
 # 10
 
 
