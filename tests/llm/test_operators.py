@@ -731,6 +731,16 @@ def test_warc_round_trip(spark, tmp_path):
         list(warc.read_arc(__import__("io").BytesIO(b"http://a/ 0 0 t 99\nshort")))
 
 
+def test_warc_by_sql(spark, tmp_path):
+    pages = table(spark, SF, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, F.col("html")).alias("html"), "url")
+    more = pages.where("page_id % 4 = 0").withColumn("page_id", F.col("page_id") + 100_000)
+    pages.union(more).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.op10_warc(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.OP10_SQL).select(", ".join(got.columns)).fetchall()) and got.where("refers_to is not null").count() > 5
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/arc")
     warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")

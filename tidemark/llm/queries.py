@@ -109,6 +109,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: For a test that compares nulls as nulls. SHA-1 in base32: eight groups of five hex digits, of four letters each.
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (g * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * k)::INTEGER) & 31) + 1)::INTEGER, 1)), '')), '') AS payload_digest FROM h),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS lead FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to FROM l
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_line_dedup, op7_mixing, op8_html_extraction, op9_quality_rules, op10_warc)}
 
