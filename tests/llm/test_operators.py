@@ -2,10 +2,14 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import html
+import io
 import random
 import re
+import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -728,7 +732,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert [(r.record_type, r.refers_to) for r in got] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("response", None), ("response", None), ("response", None)]
         assert got[0].url == "http://a/%20b" and got[1].url == "http://a/%20" and got[2].url is None
     with pytest.raises(ValueError):
-        list(warc.read_arc(__import__("io").BytesIO(b"http://a/ 0 0 t 99\nshort")))
+        list(warc.read_arc(io.BytesIO(b"http://a/ 0 0 t 99\nshort")))
 
 
 def test_warc_by_sql(spark, tmp_path):
@@ -741,6 +745,43 @@ def test_warc_by_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.OP10_SQL).select(", ".join(got.columns)).fetchall()) and got.where("refers_to is not null").count() > 5
 
 
+def test_warc_archives_are_bounded(spark, tmp_path):
+    pages = table(spark, SF, "pages").coalesce(1)
+    pages = pages.union(pages.where("page_id % 5 = 0").withColumn("page_id", F.col("page_id") + 100_000)).coalesce(1)
+    warc.write_arc(pages, f"{tmp_path}/arc", archive_bytes=8_000)
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", archive_bytes=8_000)
+    for kind, start in (("arc", b"filedesc://"), ("warc", b"WARC/1.1\r\nWARC-Type: warcinfo")):
+        files = sorted(Path(f"{tmp_path}/{kind}").glob("part-*"))
+        assert len(files) > 5
+        for file in files:
+            members, data = [], file.read_bytes().rstrip(b"\0")
+            while data:
+                one = zlib.decompressobj(31)
+                members.append((len(data), one.decompress(data)))
+                data = one.unused_data.lstrip(b"\0")
+                members[-1] = (members[-1][0] - len(data), members[-1][1])
+            assert members[0][1].startswith(start) and sum(n for n, _ in members[:-1]) < 8_000
+            parse = warc.read_arc if kind == "arc" else warc.read_warc
+            # One record a member; the version block is none.
+            assert all(len(list(parse(io.BytesIO(m)))) == 1 for _, m in members[1:])
+    got = warc.records(spark, f"{tmp_path}/warc").collect()
+    by_id = {r.page_id: r for r in got}
+    revisits = [r for r in got if r.record_type == "revisit"]
+    assert len(got) == len(by_id) == pages.count() and len({r.record_id for r in got}) == len(got) and len(revisits) >= 50
+    assert all(r.refers_to_record == by_id[r.refers_to].record_id and by_id[r.refers_to].record_type == "response" for r in revisits)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """An archive of one gzip member, of version 2, with a record that holds no HTTP."""
+    (tmp_path / "arc").mkdir()
+    plain = warc.arc_record("dns:a", b"20240101 a", 2, date="20200102030405", mime="text/dns")
+    body = warc.arc_version_block("x.arc", 2) + b"\n" + b"".join(r + b"\n" for r in (plain, warc.arc_record("http://b/", warc.http_block(7, 2) + b"hi", 2)))
+    (tmp_path / "arc" / "part-0.arc.gz").write_bytes(gzip.compress(body))
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    got = {r.url: r for r in warc.records(spark, f"{tmp_path}/warc").collect()}
+    assert got["dns:a"].payload_bytes == 10 and got["dns:a"].page_id is None and got["http://b/"].page_id == 7 and got["http://b/"].payload_bytes == 2
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/arc")
     warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")

@@ -6,9 +6,12 @@ version 2 has five fields more), that many bytes, and a line feed. WARC: each re
 many bytes as Content-Length says, and two line ends; identifiers, dates, types and digests are derived from the ARC
 record, so that a task that runs again writes the same bytes.
 
-Both kinds of archive are written by Spark's text sink to a folder that all executors share (one gzip archive per
-partition, whose size spark.sql.files.maxPartitionBytes bounds) and read by Spark's binaryFile source, so that any
-store that Spark reaches will do. Archives are parsed as streams, by declared length.
+Both kinds of archive are written by Spark's text sink to a folder that all executors share and read by Spark's
+binaryFile source, so that any store that Spark reaches will do. Each record is a gzip member of its own; a task begins
+a new archive, with its own first record, when the one it writes has archive_bytes of compressed bytes, whatever the size
+of its partition, so that no archive is larger than that and one record (a row of the sink is a whole archive, and
+maxRecordsPerFile gives each row a file; the sink's line end is a zero byte, which gzip takes as padding). Archives are
+parsed as streams, by declared length; those of others may be one gzip member of up to 2 GB.
 
 Defined results: a null payload is empty; a null id or URL stays null; blanks in a URL are percent-encoded; repeated
 rows of one page_id and payload are all of the same record type; an empty table gives no records. A record whose
@@ -22,6 +25,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
@@ -36,10 +40,12 @@ ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "20240101000000"
 #: Payload bytes that are gathered before a batch goes on.
 BATCH_BYTES = 8 << 20
+#: Compressed bytes after which an archive is closed.
+ARCHIVE_BYTES = 64 << 20
 
 
 def digest(data: bytes) -> str:
@@ -107,9 +113,8 @@ def record_id(url: str | None, date: str, payload_digest: str, page_id: int | No
 
 
 def warc_record(fields: dict[str, str | None], block: bytes) -> bytes:
-    """Without the two line ends that close it, which the text sink writes."""
     head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)
-    return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + CRLF + CRLF
 
 
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -127,8 +132,9 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes
         yield fields, _exactly(stream, int(fields["Content-Length"]))
 
 
-def _archives(spark: SparkSession, path: str, parse: Callable, rows: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    """What `rows` makes of each record of the archives at a path."""
+def _archives(spark: SparkSession, path: str, parse: Callable, rows: Callable, columns: dict[str, str]) -> DataFrame:
+    """What `rows` makes of each record of the archives at a path, in columns of the given types."""
+    schema = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,74 +151,84 @@ def _archives(spark: SparkSession, path: str, parse: Callable, rows: Callable, s
                             held, size = [], 0
                 yield _batch(held, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, ddl)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in columns.items()))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def _written(df: DataFrame, first: bytes, rows: Callable, path: str, end: str) -> None:
-    """One archive per partition: `first`, then what `rows` makes of each row."""
+def _written(df: DataFrame, first: Callable[[bytes], bytes], record: Callable, path: str, archive_bytes: int) -> None:
+    """Archives of what `record` makes of each row; each starts with what `first` makes of its first record."""
     schema = pa.schema([("value", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = False
+        members, size = [], 0
         for batch in batches:
-            held, size = [] if started or not batch.num_rows else [first], 0
-            started = started or batch.num_rows > 0
             for row in zip(*batch.columns, strict=True):
-                held.append(rows(*(x.as_py() for x in row)))
-                size += len(held[-1])
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
-                    held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
+                data = record(*(x.as_py() for x in row))
+                for part in (data,) if members else (first(data), data):
+                    members.append(gzip.compress(part, 6, mtime=0))
+                    size += len(members[-1])
+                if size >= archive_bytes:
+                    yield _batch([(b"".join(members),)], schema)
+                    members, size = [], 0
+        if members:
+            yield _batch([(b"".join(members),)], schema)
 
-    df.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").text(path)
+    df.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
+def write_arc(pages: DataFrame, path: str, version: int = 1, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """pages: page_id, url, html (a string, or bytes)."""
 
     def record(page_id: int | None, url: str | None, html: bytes | None) -> bytes:
         html = html or b""
-        return arc_record(url, http_block(page_id, len(html)) + html, version)
+        return arc_record(url, http_block(page_id, len(html)) + html, version) + b"\n"
 
-    _written(pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")), arc_version_block("pages.arc", version), record, path, "\n")
+    _written(pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")), lambda _: arc_version_block("pages.arc", version) + b"\n", record, path, archive_bytes)
 
 
-def convert(spark: SparkSession, arc: str, warc: str, min_revisit_bytes: int = 0) -> None:
+def convert(spark: SparkSession, arc: str, warc: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """ARC archives to WARC archives. Of records with equal payloads of at least so many bytes, that with the largest id is the response and the others revisit it."""
 
-    def brief(fields: dict[str, str], block: bytes) -> list[tuple]:
+    def named(fields: dict[str, str], block: bytes) -> tuple:
         http, _, payload = split_http(block)
-        return [(_int(http.get("x-page-id")), digest(payload), len(payload))]
+        return _int(http.get("x-page-id")), digest(payload), len(payload), None if fields["URL"] == "-" else fields["URL"], fields["Archive-date"]
+
+    def brief(fields: dict[str, str], block: bytes) -> list[tuple]:
+        return [named(fields, block)]
 
     def full(fields: dict[str, str], block: bytes) -> list[tuple]:
-        http, _, payload = split_http(block)
-        return [(_int(http.get("x-page-id")), digest(payload), None if fields["URL"] == "-" else fields["URL"], fields["Archive-date"], fields["IP-address"], fields["Content-type"], block)]
+        # Packed, so that the shuffle to the verdicts moves and keeps less.
+        return [(*named(fields, block), fields["IP-address"], fields["Content-type"], zlib.compress(block, 1))]
 
-    known = materialize(_archives(spark, arc, read_arc, brief, pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64())]), "page_id long, digest string, bytes long"), "digests")
+    thin = {"page_id": "long", "digest": "string", "bytes": "long", "url": "string", "date": "string"}
+    known = materialize(_archives(spark, arc, read_arc, brief, thin), "digests")
     # Equal payloads are found among thin rows; the records themselves meet their verdict by their own id.
-    lead = known.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("lead"))
-    verdict = known.select("page_id", "digest").distinct().join(lead, "digest", "left").where("lead is not null and not page_id <=> lead").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "lead")
-    whole = _archives(spark, arc, read_arc, full, pa.schema([("page_id", pa.int64()), ("digest", pa.string()), *((k, pa.string()) for k in ("url", "date", "ip", "mime")), ("block", pa.binary())]), "page_id long, digest string, url string, date string, ip string, mime string, block binary")
-    whole = whole.join(verdict, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").drop("id", "of")
-
-    def record(page_id, payload_digest, url, date, ip, mime, block, lead) -> bytes:
-        http, head, payload = split_http(block)
-        kind = "response" if lead is None else "revisit"
-        block = block if lead is None else head
+    lead = known.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "url", "date")).alias("lead"))
+    verdict = known.select("page_id", "digest").distinct().join(lead, "digest").where("lead.page_id is not null and not page_id <=> lead.page_id")
+    verdict = verdict.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("lead.page_id").alias("lead"), F.col("lead.url").alias("lead_url"), F.col("lead.date").alias("lead_date"))
+    whole = _archives(spark, arc, read_arc, full, thin | {"ip": "string", "mime": "string", "packed": "binary"})
+    whole = whole.join(verdict, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").drop("id", "of", "bytes")
+
+    def record(page_id, payload_digest, url, date, ip, mime, packed, lead, lead_url, lead_date) -> bytes:
+        http, head, payload = split_http(zlib.decompress(packed))
+        revisit, block = lead is not None, head if lead is not None else head + payload
         fields = {
-            "WARC-Type": kind, "WARC-Record-ID": record_id(url, date, payload_digest, page_id), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip,
+            "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(url, date, payload_digest, page_id), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip,
             "WARC-Payload-Digest": f"sha1:{payload_digest}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": "application/http; msgtype=response" if head else mime,
-            "WARC-Profile": None if lead is None else PROFILE, "WARC-Refers-To-Page-Id": None if lead is None else str(lead),
         }
+        if revisit:
+            # The page id is a field of our own; the standard's fields name the same record.
+            fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(lead_url, lead_date, payload_digest, lead), "WARC-Refers-To-Target-URI": lead_url, "WARC-Refers-To-Date": warc_date(lead_date), "WARC-Refers-To-Page-Id": str(lead)}
         return warc_record(fields, block)
 
-    info = warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'tidemark:warcinfo')}>", "WARC-Date": warc_date(DATE), "Content-Type": "application/warc-fields"}, b"software: tidemark\r\nformat: WARC File Format 1.0\r\n")
-    _written(whole, info, record, warc, "\r\n\r\n")
+    def info(following: bytes) -> bytes:
+        fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'tidemark:warcinfo {digest(following)}')}>", "WARC-Date": warc_date(DATE), "Content-Type": "application/warc-fields"}
+        return warc_record(fields, b"software: tidemark\r\nformat: WARC File Format 1.1\r\n")
+
+    _written(whole, info, record, warc, archive_bytes)
 
 
 def _int(text: str | None) -> int | None:
@@ -233,7 +249,7 @@ def records(spark: SparkSession, warc: str) -> DataFrame:
             raise ValueError("a payload that does not have its digest")
         size = int(http["content-length"]) if fields["WARC-Type"] == "revisit" else len(payload)
         uri = fields.get("WARC-Target-URI")
-        return [(_int(http.get("x-page-id")), uri, size, name, fields["WARC-Type"], _int(fields.get("WARC-Refers-To-Page-Id")), fields["WARC-Record-ID"])]
+        return [(_int(http.get("x-page-id")), uri, size, name, fields["WARC-Type"], _int(fields.get("WARC-Refers-To-Page-Id")), fields["WARC-Record-ID"], fields.get("WARC-Refers-To"))]
 
-    names = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())]
-    return _archives(spark, warc, read_warc, row, pa.schema(names), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
+    columns = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "record_id": "string", "refers_to_record": "string"}
+    return _archives(spark, warc, read_warc, row, columns)
