@@ -25,7 +25,6 @@ import gzip
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
@@ -46,6 +45,8 @@ DATE = "20240101000000"
 BATCH_BYTES = 8 << 20
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 64 << 20
+#: Of gzip: on pages of 4 KB level 6 takes half as much time again and saves 1 %.
+LEVEL = 4
 
 
 def digest(data: bytes) -> str:
@@ -168,7 +169,7 @@ def _written(df: DataFrame, first: Callable[[bytes], bytes], record: Callable, p
             for row in zip(*batch.columns, strict=True):
                 data = record(*(x.as_py() for x in row))
                 for part in (data,) if members else (first(data), data):
-                    members.append(gzip.compress(part, 6, mtime=0))
+                    members.append(gzip.compress(part, LEVEL, mtime=0))
                     size += len(members[-1])
                 if size >= archive_bytes:
                     yield _batch([(b"".join(members),)], schema)
@@ -201,7 +202,7 @@ def convert(spark: SparkSession, arc: str, warc: str, min_revisit_bytes: int = 0
 
     def full(fields: dict[str, str], block: bytes) -> list[tuple]:
         # Packed, so that the shuffle to the verdicts moves and keeps less.
-        return [(*named(fields, block), fields["IP-address"], fields["Content-type"], zlib.compress(block, 1))]
+        return [(*named(fields, block), fields["IP-address"], fields["Content-type"], len(block), pa.compress(block, codec="zstd", asbytes=True))]
 
     thin = {"page_id": "long", "digest": "string", "bytes": "long", "url": "string", "date": "string"}
     known = materialize(_archives(spark, arc, read_arc, brief, thin), "digests")
@@ -209,11 +210,11 @@ def convert(spark: SparkSession, arc: str, warc: str, min_revisit_bytes: int = 0
     lead = known.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "url", "date")).alias("lead"))
     verdict = known.select("page_id", "digest").distinct().join(lead, "digest").where("lead.page_id is not null and not page_id <=> lead.page_id")
     verdict = verdict.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("lead.page_id").alias("lead"), F.col("lead.url").alias("lead_url"), F.col("lead.date").alias("lead_date"))
-    whole = _archives(spark, arc, read_arc, full, thin | {"ip": "string", "mime": "string", "packed": "binary"})
+    whole = _archives(spark, arc, read_arc, full, thin | {"ip": "string", "mime": "string", "size": "long", "packed": "binary"})
     whole = whole.join(verdict, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").drop("id", "of", "bytes")
 
-    def record(page_id, payload_digest, url, date, ip, mime, packed, lead, lead_url, lead_date) -> bytes:
-        http, head, payload = split_http(zlib.decompress(packed))
+    def record(page_id, payload_digest, url, date, ip, mime, size, packed, lead, lead_url, lead_date) -> bytes:
+        http, head, payload = split_http(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True))
         revisit, block = lead is not None, head if lead is not None else head + payload
         fields = {
             "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(url, date, payload_digest, page_id), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip,
