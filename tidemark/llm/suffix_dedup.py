@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ LENGTH, GRAM = 100, 24
 SPLIT, CROWD = 20, 64
 #: Bytes of text that are hashed at once, rows that collapse together in a task, and bytes of words that are sorted together in a shard.
 PIECE, HELD, SHARD = 1 << 18, 1 << 19, 1 << 20
+#: Rows that are Python's values at once.
+ROWS = 128
 #: Suffixes of a unit, about, and bytes of the sample that shows hot anchors.
 UNIT, SAMPLE = 1 << 18, 1 << 24
 #: Bytes that a pass of the merge may take, most first; two always can.
@@ -123,7 +125,7 @@ def runs(hashes: Hashes, size: int, starts: np.ndarray, ends: np.ndarray) -> tup
     return doc, at, last, anchor[at]
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Documents laid end to end, some at a time, long ones in parts that overlap: (document, offset in it) of each part, bytes, starts, ends."""
     held, size = [], 0
     for k, text in enumerate(texts):
@@ -143,8 +145,15 @@ def _laid(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     return np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.frombuffer(b"".join(x[2] for x in held), dtype=np.uint8), np.append(0, ends[:-1]), ends
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    for a in range(0, len(column), ROWS):
+        yield from column.slice(a, ROWS).cast(pa.binary()).to_pylist()
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """As Python's values, few at a time: lists of structs take many times the room there."""
+    for a in range(0, batch.num_rows, ROWS):
+        yield from zip(*(c.to_pylist() for c in batch.slice(a, ROWS).columns), strict=True)
 
 
 def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -276,8 +285,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())], ["uid", "size", "packed"])
+            sizes, texts = zip(*((len(t), pa.compress(t, "zstd", asbytes=True)) for t in _bytes(batch.column(1))), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["uid", "size", "packed"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, size long, packed binary")
 
@@ -293,7 +302,7 @@ def parts(texts: DataFrame, width: int) -> DataFrame:
         found = _Collapse(None)
         for batch in batches:
             uids, held, size = [], [], 0
-            for uid, n, data, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uid, n, data, needs in _rows(batch):
                 text = _unpacked(n, data)
                 for x in needs:
                     held.append((len(uids), x["first"], text[x["first"] : x["last"] + LENGTH]))
@@ -331,9 +340,10 @@ class Transform:
     def __init__(self, words: list[bytes], group: np.ndarray | None = None):
         sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
         self.data = np.frombuffer(b"".join(w + bytes([END]) for w in words), dtype=np.uint8)
-        self.base = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.offset, self.size = np.arange(len(self.data)) - self.base, np.repeat(sizes, sizes)
-        self.word = np.repeat(np.arange(len(words)), sizes)
+        # A shard is far below 2 ** 31 bytes.
+        self.base = np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        self.offset, self.size = np.arange(len(self.data), dtype=np.int32) - self.base, np.repeat(sizes.astype(np.int32), sizes)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         rank = np.unique(self._blocks(0, 8), return_inverse=True)[1].astype(np.int64)
         if group is not None:
             rank += group[self.word] * (int(rank.max()) + 1)
@@ -352,7 +362,7 @@ class Transform:
 
     def _ahead(self, d: int) -> np.ndarray:
         """Where each rotation's byte d stands."""
-        return self.base + (self.offset + d) % self.size
+        return self.base + (self.offset + np.int32(d)) % self.size
 
     def _blocks(self, start: int, n: int) -> np.ndarray:
         """The n bytes from `start` on of each rotation, as a number."""
@@ -439,7 +449,7 @@ def transforms(texts: DataFrame, units: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for uid, n, data, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uid, n, data, needs in _rows(batch):
                 text = _unpacked(n, data)
                 for x in needs:
                     held.append((x["key"] % units, uid, x["first"], x["last"], text[x["first"] : x["last"] + LENGTH]))
@@ -488,7 +498,7 @@ def merged(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, *row in _rows(batch):
                 if unit != now and held:
                     yield _batch("uid first last", *repeats(held))
                     held = []
@@ -506,7 +516,7 @@ def removed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for uid, size, data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uid, size, data, found in _rows(batch):
                 edge = np.zeros(size + 1, dtype=np.int32)
                 at = np.array([(s["first"], s["last"] + LENGTH) for s in found], dtype=np.int64)
                 np.add.at(edge, at[:, 0], 1)
