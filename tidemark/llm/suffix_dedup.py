@@ -573,9 +573,10 @@ def dedup(docs: DataFrame, texts: bool = False, crowd: int = CROWD) -> DataFrame
     spans = ["uid", "first", "last"]
     found = materialize(judged(anchors(work, hot_anchors(work, size))), "found")
     shared = found.where("key is not null")
-    crowds = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).where(f"n > {crowd} or hot").select("key", F.lit(True).alias("crowd"))
-    # Written, so that the join can split a key that many share.
-    shared = materialize(shared.drop("hot").join(crowds, "key", "left"), "shared")
+    # A hot key is split whatever its rows, so they stay where they are: no task gets them all.
+    cold = shared.where("not hot")
+    crowds = cold.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key", F.lit(True).alias("crowd"))
+    shared = materialize(cold.join(crowds, "key", "left").drop("hot").unionByName(shared.where("hot").select(*spans, "key", F.lit(True).alias("crowd"))), "shared")
     listed = _listed(found.where("key is null"), "spans", "first", "last").join(_listed(shared, "needs", "first", "last", "key", F.coalesce("crowd", F.lit(False)).alias("crowd")), "uid", "full")
     held, name = _bucketed(packed(work).join(listed, "uid"), "held")
     try:
