@@ -34,6 +34,24 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+#: Every string of 100 bytes, cut from overlapping chunks of a text: the first of each stays, the others cover what goes.
+OP4_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, base, array_slice(b, base + 1, base + 355) AS part, least(256, n - 99 - base) AS size FROM (SELECT doc_id, b, n, unnest(range(0, n - 99, 256)) AS base FROM d WHERE n >= 100)),
+p AS (SELECT doc_id, base, part, unnest(range(size)) AS off FROM c),
+w AS (SELECT doc_id, base + off AS pos, row_number() OVER (PARTITION BY array_slice(part, off + 1, off + 100) ORDER BY doc_id, base + off) AS nth FROM p),
+m AS (SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 100, true) AS opens FROM w WHERE nth > 1),
+r AS (SELECT doc_id, pos, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+s AS (SELECT doc_id, min(pos) AS start, max(pos) + 100 AS stop FROM r GROUP BY doc_id, run),
+g AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM s),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS stop,
+             string_agg(substr(hex(b), 2 * since + 1, 2 * (start - since)), '' ORDER BY start) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hex(b), 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -109,7 +127,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: For a test that compares nulls as nulls. SHA-1 in base32: eight groups of five hex digits, of four letters each.
+#: SHA-1 in base32: eight groups of five hex digits, of four letters each.
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
@@ -126,4 +144,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op7_mixing": op7_sql()}
+    return {"op4_suffix_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL}
