@@ -19,6 +19,50 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_sql() -> str:
+    """XXH64 written out in 128-bit numbers: a product or sum is cut to 64 bits, and a rotation is a product modulo 2^64 - 1."""
+    p = [f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    left = lambda x, k: f"(({x}) * {2**k}::UHUGEINT % 18446744073709551615::UHUGEINT)"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, ({at}) * 2 + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    lane = lambda v: cut(f"{left(cut(f'{v} * {p[1]}'), 31)} * {p[0]}")
+    fold = lambda items, step, first: f"list_reduce({items}, lambda a, v: {step}, {first})"
+    seed = simhash.SEED
+    firsts = [(seed + 11400714785074694791 + 14029467366897019727) % 2**64, (seed + 14029467366897019727) % 2**64, seed, (seed - 11400714785074694791) % 2**64]
+    stripes = ", ".join(fold(f"list_transform(range(n // 32), lambda i: lanes[4 * i + {k + 1}])", cut(f"{left(cut(f'a + {cut(f"v * {p[1]}")}'), 31)} * {p[0]}"), f"{firsts[k]}::UHUGEINT") + f" AS v{k}" for k in range(4))
+    merged = cut(" + ".join(left(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        merged = cut(f"{xor(merged, lane(f'v{k}'))} * {p[0]} + {p[3]}")
+    eights = cut(f"{left(xor('a', lane('v')), 27)} * {p[0]} + {p[3]}")
+    four = cut(f"{left(xor('h', cut(f'{number("n // 8 * 8", 4)} * {p[0]}')), 23)} * {p[1]} + {p[2]}")
+    ones = cut(f"{left(xor('a', cut(f'v * {p[4]}')), 11)} * {p[0]}")
+    bits = ", ".join(f"sum(times * ((h >> {k}) & 1)) AS b{k}" for k in range(64))
+    value = " + ".join(f"CASE WHEN 2 * b{k} > n THEN {2**k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))
+    return f"""WITH RECURSIVE listed AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+single AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM listed),
+three AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS shingle FROM single WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+shingles AS MATERIALIZED (SELECT doc_id, shingle, count(*) AS times FROM (SELECT * FROM three WHERE shingle IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM listed WHERE len(words) BETWEEN 1 AND 2) GROUP BY ALL),
+h0 AS (SELECT shingle, hex(encode(shingle)) AS x, strlen(shingle)::BIGINT AS n FROM (SELECT DISTINCT shingle FROM shingles)),
+h1 AS (SELECT *, list_transform(range(n // 8), lambda i: {number("8 * i", 8)}) AS lanes FROM h0),
+h2 AS (SELECT *, {stripes} FROM h1),
+h3 AS (SELECT shingle, x, n, lanes, {cut(f"n::UHUGEINT + CASE WHEN n >= 32 THEN {merged} ELSE {seed}::UHUGEINT + {p[4]} END")} AS h FROM h2),
+h4 AS (SELECT shingle, x, n, {fold("lanes[4 * (n // 32) + 1:]", eights, "h")} AS h FROM h3),
+h5 AS (SELECT shingle, x, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM h4),
+h6 AS (SELECT shingle, {fold(f"list_transform(range(n - n % 4, n), lambda i: {number('i', 1)})", ones, "h")} AS h FROM h5),
+h7 AS (SELECT shingle, {cut(f"{xor('h', f'h // {2**33}::UHUGEINT')} * {p[1]}")} AS h FROM h6),
+h8 AS (SELECT shingle, {cut(f"{xor('h', f'h // {2**29}::UHUGEINT')} * {p[2]}")} AS h FROM h7),
+hashes AS (SELECT shingle, ({xor("h", f"h // {2**32}::UHUGEINT")})::UBIGINT AS h FROM h8),
+counted AS (SELECT doc_id, sum(times) AS n, {bits} FROM shingles JOIN hashes USING (shingle) GROUP BY doc_id),
+fps AS MATERIALIZED (SELECT d.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN (SELECT doc_id, ({value})::UBIGINT AS fp FROM counted) c ON d.doc_id = c.doc_id),
+nodes AS MATERIALIZED (SELECT fp, min(doc_id) AS rep FROM fps GROUP BY fp),
+edges AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)) <= {simhash.RADIUS}),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+named AS (SELECT a AS fp, min(rep) AS component_id FROM reach JOIN nodes ON b = nodes.fp GROUP BY a)
+SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM fps JOIN named USING (fp)"""
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -144,4 +188,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL}
+    return {"op1_simhash": op1_sql(), "op4_suffix_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL}
