@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import functions as X
@@ -22,14 +22,16 @@ def catalog(logs: DataFrame, max_tag_pairs: int = Limits.max_tag_pairs) -> DataF
 def tag_summary(logs: DataFrame, max_tag_pairs: int = Limits.max_tag_pairs) -> DataFrame:
     """Per block with tags: the union of its values by key, or nothing but `tags_saturated` beyond max_tag_pairs pairs.
 
-    Values are only gathered after the pairs are counted, so that a group never holds more than max_tag_pairs.
+    Of each block at most one pair more than that is looked at, in order, so no group holds more. One shuffle puts equal
+    pairs together, one a block's pairs; the count and the map come from the latter.
     """
     pairs = logs.select("block_id", F.explode("tags").alias("k", "v")).distinct()
-    counted = pairs.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
-    few = pairs.join(counted.where(F.col("n") <= max_tag_pairs), "block_id", "left_semi")
-    by_key = few.groupBy("block_id", "k").agg(F.sort_array(F.collect_set("v")).alias("vs"))
-    maps = by_key.groupBy("block_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "vs")))).alias("tag_summary"))
-    return counted.join(maps, "block_id", "left").select("block_id", "tag_summary", (F.col("n") > max_tag_pairs).alias("tags_saturated"))
+    first = pairs.withColumn("tm_nth", F.row_number().over(Window.partitionBy("block_id").orderBy("k", "v"))).where(F.col("tm_nth") <= max_tag_pairs + 1)
+    blocks = first.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("kv"))
+    keys = F.array_distinct(F.col("kv.k"))
+    values = lambda k: F.transform(F.filter("kv", lambda e: (e["k"] == k) & e["v"].isNotNull()), lambda e: e["v"])
+    saturated = F.size("kv") > max_tag_pairs
+    return blocks.select("block_id", F.when(~saturated, F.map_from_arrays(keys, F.transform(keys, values))).alias("tag_summary"), saturated.alias("tags_saturated"))
 
 
 def tenant_fits(tenant_id: str) -> Column:
