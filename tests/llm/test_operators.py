@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import html
 import io
+import itertools
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -186,6 +188,59 @@ def test_near_copies_by_brute_force(spark, block):
     assert stay == brute_stays(texts) and 12 < len(stay) < len(texts) - 12
 
 
+def test_near_copies_link_by_fingerprint(spark):
+    """All within 3 bits; within the wider radius those that share a band and are of like size; no others, band or not."""
+    r = random.Random(13)
+    rows, seen = [], set()
+    for _ in range(120):
+        f, shared = r.getrandbits(64), r.getrandbits(60)
+        for _ in range(r.choice((2, 3, 8))):
+            g = f
+            for b in r.sample(range(64), r.choice((1, 2, 3, 5, 20, 26, 27, 40))):
+                g ^= 1 << b
+            if g not in seen:  # of equal ones the tree knows the least and the largest size
+                rows.append((len(rows), r.choice((40, 45, 50, 70)), g - (g >> 63 << 64), [r.choice((shared, r.getrandbits(60))), r.getrandbits(60)]))
+                seen.add(g)
+    apart = lambda x, y: ((x[2] ^ y[2]) & (1 << 64) - 1).bit_count()
+    label = list(range(len(rows)))
+    for x, y in itertools.combinations(rows, 2):
+        banded = bool(set(x[3]) & set(y[3])) and min(x[1], y[1]) >= 0.8 * max(x[1], y[1])
+        if apart(x, y) <= (26 if banded else 3):
+            a, b = sorted((label[x[0]], label[y[0]]))
+            label = [a if c == b else c for c in label]
+    found = spark.createDataFrame(rows, "doc_id long, size long, fp long, bands array<long>")
+    got = {x.node: x.component for x in components.components(simhash.copy_links(found, 0.8)).collect()}
+    assert got == {i: c for i, c in enumerate(label) if c != i} and len(set(label)) > 60 and len(got) > 60
+
+
+def test_radius_holds_near_copies():
+    """Fingerprints of sets whose similarity is at its bound, 0.8 or as near above it as their sizes allow."""
+    r = np.random.default_rng(14)
+    most = 0
+    for shared in [*range(4, 60)] * 40:
+        own = int(shared / 0.8 + 1e-9) - shared
+        h = r.integers(0, 2**64, shared + own, dtype=np.uint64)
+        k = shared + int(r.integers(0, own + 1))
+        most = max(most, (simhash.fingerprint(h[:k]) ^ simhash.fingerprint(np.append(h[:shared], h[k:]))).bit_count())
+    assert 15 < most <= simhash.COPY_RADIUS
+
+
+def test_bktree_spreads_over_components():
+    r = np.random.default_rng(15)
+    bits = lambda n, most: np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, most), replace=False)) for _ in range(n)], dtype=np.uint64)
+    values = np.unique(np.concatenate([r.integers(0, 2**63, 40, dtype=np.uint64)[:, None] ^ bits(8, 14)[None, :], r.integers(0, 2**63, (40, 1), dtype=np.uint64)], axis=1).ravel())
+    for radius in (0, 6, 12, 18):
+        for pairs in (1, 300, 1 << 20):
+            tree = bktree.BKTree(values)
+            assert (tree.spread(radius, lambda a, b: a >= 0, pairs) == bktree.forest(values, radius)).all()
+    odd = bktree.BKTree(values).spread(64, lambda a, b: a % 2 == b % 2)
+    assert (odd == np.arange(len(values)) % 2).all()
+    # A large group costs no square of its size.
+    group = np.unique(r.integers(0, 2**63, dtype=np.uint64) ^ bits(60_000, 9))
+    began = time.process_time()
+    assert (bktree.BKTree(group).spread(26, lambda a, b: a >= 0) == 0).all() and time.process_time() - began < 20
+
+
 def test_kept_sets_are_not_alike():
     r = np.random.default_rng(6)
     kept, sets = simhash.Kept(0.8), []

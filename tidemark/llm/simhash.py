@@ -9,6 +9,9 @@ of blocks is a table, and the distinct fingerprints that agree there are a shard
 its fingerprints walk along the edges within the radius; what leaves the task is a spanning star per component of the
 shard, never all pairs. Components over all shards are then joined as a DataFrame.
 
+Near copies by similarity (drop_near_copies) go by the same search over fingerprints of the set of shingles, with a wider
+radius in shards by band, and an exact count after it.
+
 Defined results: a null text counts as empty; a text of fewer words than a shingle has one shingle, the whole; a text
 without words has fingerprint zero; rows of equal doc_id are joined as one document; a
 row without doc_id gets the component of its fingerprint (null if no row with an id has it); an empty table gives an
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bktree import forest
+from tidemark.llm.bktree import BKTree, forest
 from tidemark.llm.common import fresh, materialize
 from tidemark.llm.components import components
 
@@ -87,11 +90,12 @@ def links(sharded: DataFrame, radius: int) -> DataFrame:
     return _stars(sharded, label)
 
 
-def _stars(sharded: DataFrame, label_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b) for every row of a shard (shard, value, rep) that label_of, given the shard's values, puts with another. Shards arrive sorted, one after the other."""
+def _stars(sharded: DataFrame, label_of: Callable[..., np.ndarray]) -> DataFrame:
+    """(a, b) for every row of a shard (shard, *values, rep) that label_of, given the shard's values, puts with another. Shards arrive sorted, one after the other."""
+    width = len(sharded.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.array([], dtype=np.int64)] * 3
+        kept = [np.array([], dtype=np.int64)] * width
         for batch in batches:
             new = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True)]
             last = np.searchsorted(new[0], new[0][-1]) if len(new[0]) else 0
@@ -100,12 +104,12 @@ def _stars(sharded: DataFrame, label_of: Callable[[np.ndarray], np.ndarray]) ->
         yield of(kept)
 
     def of(columns: list[np.ndarray]) -> pa.RecordBatch:
-        shard, value, rep = columns
+        shard, *values, rep = columns
         a, b = [], []
         edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.array([0])
         for k in np.flatnonzero(np.diff(edges) > 1):
             lo, hi = edges[k], edges[k + 1]
-            label = label_of(value[lo:hi])
+            label = label_of(*(v[lo:hi] for v in values))
             tied = np.flatnonzero(label != np.arange(hi - lo))
             a.append(rep[lo:hi][tied])
             b.append(rep[lo:hi][label[tied]])
@@ -128,10 +132,12 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For near copies by similarity: shards are bands of ROWS MinHash values; so many of them that two texts of similarity
-#: 0.8 share none with a chance of (1 - 0.8 ** 4) ** 20 = 3e-5. Texts that share one are compared by an exact count
-#: unless their sets' sizes alone rule the similarity out.
-COPY_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: For near copies by similarity. Fingerprints are of the set of shingles: those of two texts of similarity 0.8 differ at
+#: each bit with a chance of 0.153 (0.1875 at most, for sets of 4 and 5), hence in more than COPY_RADIUS bits with one of
+#: 2e-7 (1.3e-5 at most). Blocks of bits deal radius 3 exactly, but at such a radius would be of two bits each; there, shards
+#: are bands of ROWS MinHash values, so many of them that the two texts share none with a chance of
+#: (1 - 0.8 ** 4) ** 20 = 3e-5.
+COPY_WORDS, SIMILARITY, COPY_RADIUS, BANDS, ROWS = 5, 0.8, 26, 20, 4
 #: Documents, and shingles in all, that one task judges at once: first and at most (each round doubles the first).
 BLOCK, MAX_BLOCK, MAX_SHINGLES = 128, 1 << 13, 1 << 22
 _MIX = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -154,36 +160,43 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, n: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, d1, d2, size, bands): two digests of the text's set of shingles, its size, and its bands."""
+    """(doc_id, d1, d2, size, fp, bands): two digests of the text's set of shingles, its size, its fingerprint, and its bands."""
 
-    def one(text: str | None) -> tuple[int, int, int, list[int]]:
+    def one(text: str | None) -> tuple[int, int, int, int, list[int]]:
         own = np.unique(shingle_hashes(text, n))
         if not len(own):
-            return 0, 0, 0, []
-        digests = np.array([_mixed(own, m).sum() for m in _MIX[3:5]], dtype=np.uint64)
-        return *digests.view(np.int64).tolist(), len(own), bands(own).view(np.int64).tolist()
+            return 0, 0, 0, 0, []
+        digests = np.array([*(_mixed(own, m).sum() for m in _MIX[3:5]), fingerprint(own)], dtype=np.uint64)
+        d1, d2, fp = digests.view(np.int64).tolist()
+        return d1, d2, len(own), fp, bands(own).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t.as_py()) for t in batch.column(1)]
-            d1, d2, size, found = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "size", "bands"])
+            *numbers, found = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "size", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, size long, fp long, bands array<long>")
 
 
-def shared_bands(found: DataFrame, similarity: float) -> DataFrame:
-    """(shard, level, doc_id) of (doc_id, size, bands). Sets that may be similar are at one level, or at neighbouring ones."""
-    level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity)) - 1e-9).cast("int")
-    return found.select(F.explode("bands").alias("shard"), level.alias("level"), "doc_id")
+def copy_links(found: DataFrame, similarity: float, radius: int = COPY_RADIUS) -> DataFrame:
+    """Spanning stars (a, b) of documents (doc_id, size, fp, bands): all whose fingerprints link, and those of a band whose fingerprints are within the wider radius, unless their sizes rule the similarity out."""
+    near = links(shards(found.select("fp", F.col("doc_id").alias("rep")), RADIUS), RADIUS)
+    banded = found.select(F.explode("bands").alias("shard"), "fp", "size", F.col("doc_id").alias("rep"))
+    return near.union(_stars(banded, lambda fp, size: copy_label(fp.view(np.uint64), size, similarity, radius)))
 
 
-def candidate_links(shards: DataFrame) -> DataFrame:
-    """(a, b): documents of a shard (shard, level, doc_id) hang on the smallest of their level, and that on the smallest of the next level."""
-    low = shards.groupBy("shard", "level").agg(F.min("doc_id").alias("b"))
-    own = shards.join(low, ["shard", "level"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    above = low.select("shard", (F.col("level") + 1).alias("level"), F.col("b").alias("a"))
-    return own.union(low.join(above, ["shard", "level"]).select("a", "b")).distinct()
+def copy_label(fp: np.ndarray, size: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """For each set of a shard the first of its component, walking a BK-tree of the fingerprints."""
+    may = lambda low, high: low >= similarity * high - 1e-9
+    # Mostly all are within the root's radius.
+    if (np.bitwise_count(fp ^ fp[0]) <= radius).all() and may(size.min(), size[0]) and may(size[0], size.max()):
+        return np.zeros(len(fp), dtype=np.int64)
+    values, first, of_value = np.unique(fp, return_index=True, return_inverse=True)
+    low, high = np.full(len(values), size.max()), np.zeros(len(values), dtype=np.int64)
+    np.minimum.at(low, of_value, size)
+    np.maximum.at(high, of_value, size)
+    return first[BKTree(values).spread(radius, lambda a, b: may(high[a], low[b]) & may(high[b], low[a]))[of_value]]
 
 
 class Kept:
@@ -310,16 +323,16 @@ def stays(open_: DataFrame, texts: DataFrame, n: int, similarity: float, block:
 def drop_near_copies(docs: DataFrame, n: int = COPY_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs without copies: in order of doc_id, a document goes if one that stays has a set of n-word shingles of a Jaccard similarity of `similarity` or more.
 
-    Texts of one set go at once, by digest. The others meet in shards by band, which makes candidate components; in
-    each, a document goes only if one that stays is similar by exact count. Rows without a doc_id stay; of several rows of one
+    Texts of one set go at once, by digest. The others go by SimHash: fingerprints that copy_links finds make candidate
+    components; in each, a document goes only if one that stays is similar by exact count. Rows without a doc_id stay; of several rows of one
     doc_id the smallest text is judged for all; a text without words equals any other such text.
     """
     several = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     judged = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if several else docs.where("doc_id is not null")
     found = materialize(profiles(judged, n), "profiles")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("one")).select("one.*")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "fp", "bands")).alias("one")).select("one.*")
     alone = materialize(first, "first")
-    tied = components(candidate_links(shared_bands(alone, similarity)))
+    tied = components(copy_links(alone, similarity))
     tied = materialize(tied.union(tied.select(F.col("component"), "component").distinct()).toDF("doc_id", "component"), "tied")
     # The texts move once, to learn what became of them; from then on only the candidates do.
     id_, component = fresh(docs, "tm_id", "tm_component")
