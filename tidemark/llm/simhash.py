@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS) -> Da
 COPY_WORDS, SIMILARITY, COPY_RADIUS, BANDS, ROWS = 5, 0.8, 26, 20, 4
 #: Documents, and shingles in all, that one task judges at once: first and at most (each round doubles the first).
 BLOCK, MAX_BLOCK, MAX_SHINGLES = 128, 1 << 13, 1 << 22
-_MIX = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Unrelated odd numbers: of multiples of one number, most would have their least value at the same hash.
+_MIX = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
